@@ -31,7 +31,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
-    ELSE list_distinct(list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1])) END AS sh FROM w
+    ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w
 ), n AS (SELECT doc_id, len(sh) AS n, md5(array_to_string(list_sort(sh), ' / ')) AS node, sh FROM s),
 u AS (SELECT min(doc_id) AS rep, any_value(n) AS n, any_value(sh) AS sh FROM n WHERE n > 0 GROUP BY node),
 x AS (SELECT rep, n, unnest(sh) AS sh FROM u),
