@@ -1,0 +1,51 @@
+import random
+import re
+
+from vellum.llm import secret_scan as S
+
+BASE = {
+    "assign": re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII),
+    "access": re.compile(r"AKIA[A-Z0-9]+"),
+    "hex": re.compile(r"[0-9a-f]+"),
+}
+LEAST = {"assign": 8, "access": 16, "hex": 32}
+
+
+def base_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(BASE.items()):
+        for m in pattern.finditer(text or ""):
+            if len(m[1] if kind == "assign" else m[0]) >= LEAST[kind]:
+                out.append((m.start(), k, m.end(), kind))
+    return sorted(out)
+
+
+def run(spark, texts):
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, token string")
+    return {r.doc_id: [(x.start, x.ord, x.end, x.kind) for x in r.secret_spans] for r in S.scan_secrets(df).collect()}
+
+
+def test_base_spans_equal_python(spark):
+    r = random.Random(3)
+    pieces = ["token = \"", "TOKEN:", "api_key='", "passwd=", "secret \n", "AKIA", "ABCDEF0123456789", "deadbeef" * 4, "0f" * 16, "é", "𝄞", " ", "\n", "abc", "=", "/+", "12345678", "tokentoken=abcdefgh"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(30))) for _ in range(400)] + [None, "", "x" * 100_000 + "token=" + "a1" * 20_000, "0123456789abcdef" * 9000]
+    got = run(spark, texts)
+    for i, t in enumerate(texts):
+        assert [s for s in got[i] if s[3] != "random"] == base_spans(t), t[:200]
+
+
+def test_battery_finds_keys_and_leaves_words(spark):
+    r = random.Random(5)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(r.choice(b64) for _ in range(40)) for _ in range(60)]
+    plain = ["internationalization2024final", "aaaaaaaaaaaaaaaaaaaa1111111111", "2024-01-02-2024-03-04-id", "thisisaverylongidentifier_with_number_12", "abcabcabcabcabcabcabc123123123", "12345678901234567890"]
+    got = run(spark, [f"see {k} here" for k in keys] + [f"see {p} here" for p in plain])
+    found = sum(got[i] == [(4, 3, 44, "random")] for i in range(len(keys)))
+    assert found >= 54, found  # the battery lets 0.999 of random strings pass, and some lack a digit
+    assert all(got[len(keys) + i] == [] for i in range(len(plain)))
+
+
+def test_empty_table(spark):
+    assert run(spark, ["x"]) == {0: []}
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert S.scan_secrets(df).count() == 0

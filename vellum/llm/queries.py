@@ -7,17 +7,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from vellum.llm import url_filter
 from vellum.llm.near_dup import near_duplicates
+from vellum.llm.secret_scan import joined, scan_secrets
 from vellum.llm.shared import table
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("secret_spans", lambda x: x["kind"] == kind)).cast("long")
+    base = F.filter("secret_spans", lambda x: x["kind"] != "random")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("secret_spans")).alias("spans"),
+    )
+
+
 def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op10_minhash_near_dup,)}
+    found = {f.__name__: f for f in (op7_url_filter, op8_secret_scan, op10_minhash_near_dup)}
     if importlib.util.find_spec("corpus_pipeline"):
         import corpus_pipeline
 
@@ -53,4 +76,4 @@ FROM n LEFT JOIN nodes ON nodes.node = n.node AND n.n > 0 LEFT JOIN comp ON comp
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_minhash_near_dup": OP10}
+    return {"op7_url_filter": url_filter.sql(), "op10_minhash_near_dup": OP10}

@@ -80,11 +80,12 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once: inside a lambda, an expression is evaluated again at each mention."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """A batch's texts, null as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
 
-
-def json_array(values) -> Column:
-    """Numbers as one foldable array<double> literal; the optimizer evaluates it once."""
-    return F.from_json(F.lit("[" + ",".join(repr(float(v)) for v in values) + "]"), "array<double>")
