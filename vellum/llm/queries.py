@@ -11,10 +11,25 @@ from pyspark.sql import functions as F
 
 from vellum.llm import url_filter
 from vellum.llm.near_dup import near_duplicates
+from vellum.llm.packing import pack
+from vellum.llm.resharding import reshard
 from vellum.llm.secret_scan import joined, scan_secrets
 from vellum.llm.shared import table
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From six shards by a hash of the text to eight of near-equal bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    old = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)), F.lit(6))
+    found = reshard(docs, old, 8)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return found.select("page_id", "host", "path", "rule", "verdict")
@@ -40,7 +55,7 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op7_url_filter, op8_secret_scan, op10_minhash_near_dup)}
+    found = {f.__name__: f for f in (op4_packing, op6_resharding, op7_url_filter, op8_secret_scan, op10_minhash_near_dup)}
     if importlib.util.find_spec("corpus_pipeline"):
         import corpus_pipeline
 
