@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import url_filter
+from vellum.llm.decontaminate import find_leaks
 from vellum.llm.near_dup import near_duplicates
 from vellum.llm.packing import pack
 from vellum.llm.resharding import reshard
@@ -49,13 +50,18 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_shared")
+
+
 def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op4_packing, op6_resharding, op7_url_filter, op8_secret_scan, op10_minhash_near_dup)}
+    found = {f.__name__: f for f in (op4_packing, op6_resharding, op7_url_filter, op8_secret_scan, op9_decontamination, op10_minhash_near_dup)}
     if importlib.util.find_spec("corpus_pipeline"):
         import corpus_pipeline
 
@@ -90,5 +96,18 @@ FROM n LEFT JOIN nodes ON nodes.node = n.node AND n.n > 0 LEFT JOIN comp ON comp
 """
 
 
+#: Exact: every item against every document by shared runs of min(5, words of the item) words, 0.8 or more of them.
+OP9 = r"""
+WITH bw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark),
+b AS (SELECT item_id, least(5, len(ws)) AS n, list_distinct(list_transform(range(1, len(ws) - least(5, len(ws)) + 2), lambda i: array_to_string(ws[i:i + least(5, len(ws)) - 1], ' '))) AS sh FROM bw WHERE len(ws) > 0),
+bs AS (SELECT item_id, n, len(sh) AS n_shingles, unnest(sh) AS g FROM b),
+dw AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+dn AS (SELECT rid, doc_id, ws, n FROM dw, (SELECT DISTINCT n FROM bs)),
+ds AS (SELECT DISTINCT rid, doc_id, n, unnest(list_transform(range(1, greatest(len(ws) - n + 2, 1)), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS g FROM dn)
+SELECT ds.doc_id, bs.item_id, bs.n_shingles, count(*) AS n_shared FROM ds JOIN bs ON bs.g = ds.g AND bs.n = ds.n
+GROUP BY ds.rid, ds.doc_id, bs.item_id, bs.n_shingles HAVING count(*) >= 0.8 * bs.n_shingles
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": url_filter.sql(), "op10_minhash_near_dup": OP10}
+    return {"op7_url_filter": url_filter.sql(), "op9_decontamination": OP9, "op10_minhash_near_dup": OP10}

@@ -63,7 +63,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, rows: int = 512) -> DataFrame:
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema, rows: int = 512) -> DataFrame:
     """mapInArrow with batches cut to at most `rows` rows, which bounds a worker's memory by rows * text size.
 
     make() runs once per task and returns the function applied to every batch.

@@ -31,20 +31,37 @@ def _coefficients_to(n: int) -> np.ndarray:
     return _coefficients
 
 
+_letters: tuple[np.ndarray, np.ndarray] | None = None
+
+
+def letter_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Of the code points below 65536: is it a letter or a digit; its lower case, if that is one such code point."""
+    global _letters
+    if _letters is None:
+        every = [chr(c) for c in range(65536)]
+        lower = np.array([ord(x) if len(x := c.lower()) == 1 else i for i, c in enumerate(every)], dtype=np.uint32)
+        _letters = np.array([c.isalnum() for c in every]), lower
+    return _letters
+
+
 class Grid:
-    """The words of texts: chars (code points, texts joined by a line feed), begin and end of each word, doc_at (first
+    """The words of texts, runs without ASCII white space, or with plain=True runs of letters and digits in lower case: chars (code points, texts joined by a line feed), begin and end of each word, doc_at (first
     word of each text, and the number of words at the end), text_at (start of each text in chars)."""
 
-    def __init__(self, texts: list[str], lower: bool = False):
+    def __init__(self, texts: list[str], lower: bool = False, plain: bool = False):
         self.chars = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        if lower:
+        if plain:
+            is_letter, to_lower = letter_tables()
+            low = np.minimum(self.chars, 65535)
+            self.chars = np.where(self.chars < 65536, to_lower[low], self.chars)
+        elif lower:
             self.chars = np.where((self.chars >= 65) & (self.chars <= 90), self.chars + np.uint32(32), self.chars)
         lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
         self.text_at = np.concatenate(([0], np.cumsum(lengths + 1)))[: len(texts)].astype(np.int64)
         self.lengths = lengths
         gap = np.empty(len(self.chars) + 2, dtype=bool)
         gap[0] = gap[-1] = True
-        gap[1:-1] = (self.chars == 32) | ((self.chars >= 9) & (self.chars <= 13))
+        gap[1:-1] = ~(is_letter[low] | (self.chars >= 65536)) if plain else (self.chars == 32) | ((self.chars >= 9) & (self.chars <= 13))
         self.begin = np.flatnonzero(gap[:-1] & ~gap[1:]) if len(self.chars) else np.empty(0, dtype=np.int64)
         self.end = np.flatnonzero(~gap[:-1] & gap[1:]) if len(self.chars) else np.empty(0, dtype=np.int64)
         self.end = self.end[: len(self.begin)]
