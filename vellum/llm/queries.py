@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from vellum.llm import url_filter
+from vellum.llm import toxicity, url_filter
 from vellum.llm.decontaminate import find_leaks
 from vellum.llm.near_dup import near_duplicates
 from vellum.llm.packing import pack
@@ -18,6 +18,13 @@ from vellum.llm.secret_scan import joined, scan_secrets
 from vellum.llm.shared import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model).withColumnRenamed("tox_score", "score")
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -61,7 +68,7 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op4_packing, op6_resharding, op7_url_filter, op8_secret_scan, op9_decontamination, op10_minhash_near_dup)}
+    found = {f.__name__: f for f in (op2_toxicity, op4_packing, op6_resharding, op7_url_filter, op8_secret_scan, op9_decontamination, op10_minhash_near_dup)}
     if importlib.util.find_spec("corpus_pipeline"):
         import corpus_pipeline
 
