@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import toxicity, url_filter
+from vellum.llm.chat_format import digest_conversations, probe
 from vellum.llm.decontaminate import find_leaks
 from vellum.llm.near_dup import near_duplicates
 from vellum.llm.packing import pack
@@ -18,6 +19,11 @@ from vellum.llm.secret_scan import joined, scan_secrets
 from vellum.llm.shared import table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return digest_conversations(given.unionByName(probe(spark)))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -68,7 +74,7 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op2_toxicity, op4_packing, op6_resharding, op7_url_filter, op8_secret_scan, op9_decontamination, op10_minhash_near_dup)}
+    found = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op4_packing, op6_resharding, op7_url_filter, op8_secret_scan, op9_decontamination, op10_minhash_near_dup)}
     if importlib.util.find_spec("corpus_pipeline"):
         import corpus_pipeline
 
