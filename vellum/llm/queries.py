@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from vellum.llm import toxicity, url_filter
+from vellum.llm import quality, toxicity, url_filter
 from vellum.llm.chat_format import digest_conversations, probe
 from vellum.llm.decontaminate import find_leaks
 from vellum.llm.near_dup import near_duplicates
@@ -36,6 +36,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From six shards by a hash of the text to eight of near-equal bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -74,7 +79,7 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op4_packing, op6_resharding, op7_url_filter, op8_secret_scan, op9_decontamination, op10_minhash_near_dup)}
+    found = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op4_packing, op5_quality, op6_resharding, op7_url_filter, op8_secret_scan, op9_decontamination, op10_minhash_near_dup)}
     if importlib.util.find_spec("corpus_pipeline"):
         import corpus_pipeline
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from vellum.llm.shared import cut, map_arrow, ship, texts_of
-from vellum.llm.wordgrid import Grid
+from vellum.llm.wordgrid import Grid, regress
 
 #: Labelled rows a model is fitted on, at most (in expectation; they are picked by hash).
 TRAIN_ROWS = 8000
@@ -198,18 +198,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ np.array(self.coefficients), -30, 30)))
 
 
-def regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 40) -> tuple[float, ...]:
-    """Logistic regression by Newton's method; all but the bias are drawn to 0."""
-    w = np.zeros(x.shape[1])
-    pull = np.full(x.shape[1], ridge)
-    pull[0] = 1e-3
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(pull)
-        w = w - np.linalg.solve(hessian, x.T @ (p - y) + pull * w)
-    return tuple(float(v) for v in w)
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """(text, y) of labelled rows that may be learned from: crc32(doc_id as text) mod 3 is not 1; about `most` by hash."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y")).where(~held_out(F.col("doc_id")))

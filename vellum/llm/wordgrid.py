@@ -91,3 +91,16 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
         for i in range(width):
             total = mix(total * _GOLD + words[i : k - width + 1 + i])
     return np.unique(total)
+
+
+def regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 40, weight: np.ndarray | None = None) -> tuple[float, ...]:
+    """Logistic regression of weighted rows by Newton's method; all but the bias (column 0) are drawn to 0."""
+    w = np.ones(len(y)) if weight is None else weight
+    out = np.zeros(x.shape[1])
+    pull = np.full(x.shape[1], ridge)
+    pull[0] = 1e-3
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ out, -30, 30)))
+        hessian = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(pull)
+        out = out - np.linalg.solve(hessian, x.T @ (w * (p - y)) + pull * out)
+    return tuple(float(v) for v in out)
