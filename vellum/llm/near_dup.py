@@ -258,8 +258,9 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> Dat
     # one row for each (set, doc_id); a component without any doc_id keeps one set only
     of_null = F.when(F.col("doc_id").isNull() & F.col("node").isNotNull(), F.col("component")).otherwise(F.col("node"))
     chosen = found.where("node is not null").groupBy(of_null.alias("g"), "doc_id").agg(F.min("row_key").alias("row_key")).select("row_key").distinct()
-    keys = keyed(docs)
-    own = Window.partitionBy("row_key", "doc_id", F.xxhash64("text", F.lit(3))).orderBy(F.lit(1))
-    with_words = keys.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(chosen, "row_key", "left_semi").withColumn("_nth", F.row_number().over(own)).where("_nth = 1")
-    without = keys.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).withColumn("_nth", F.lit(1))
-    return with_words.unionByName(without).drop("row_key", "_nth")
+    key, nth, columns = "__vellum_key", "__vellum_nth", docs.columns
+    keys = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    has_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = Window.partitionBy(key, "doc_id", F.xxhash64("text", F.lit(3))).orderBy(F.lit(1))
+    with_words = keys.where(has_word).join(chosen.withColumnRenamed("row_key", key), key, "left_semi").withColumn(nth, F.row_number().over(own)).where(F.col(nth) == 1)
+    return with_words.select(columns).unionByName(docs.where(~has_word))

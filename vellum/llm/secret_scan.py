@@ -93,10 +93,11 @@ def _random_bits(token: Column) -> Column:
 
 
 def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs: a text and any other columns. Adds secret_spans, array of (start, ord, end, kind, token), by start and kind."""
+    """docs: a text and any other columns. Adds secret_spans (in place of any column so called), an array of
+    (start, ord, end, kind, token), by start and kind."""
     own = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn(
-        "_base",
+        "__vellum_base",
         F.concat(
             _spans(own, ASSIGN, "assign", 8, 1),
             _spans(own, ACCESS, "access", 16, gate="AKIA[A-Z0-9]{12}"),
@@ -105,16 +106,16 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     likely = F.filter(
         _spans(own, CANDIDATE, "random", 20, gate="(?=[A-Za-z+/_=-]*[0-9])" + CANDIDATE),
-        lambda x: x["token"].rlike("[0-9]") & x["token"].rlike("[A-Za-z]") & ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
+        lambda x: x["token"].rlike("[0-9]") & x["token"].rlike("[A-Za-z]") & ~F.exists(F.col("__vellum_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
     )
-    out = out.withColumn("_likely", likely)
-    scored = F.when(F.size("_likely") > 0, F.transform("_likely", lambda x: F.struct((-_random_bits(x["token"])).alias("less"), x.alias("span")))).otherwise(F.array().cast(f"array<struct<less:double,span:{SPAN}>>"))
-    out = out.withColumn("_scored", F.array_sort(scored))
-    needed = lambda i: F.log2((F.size("_scored") / (FALSE_SHARE * i)).cast("double"))
-    ranks = F.when(F.size("_scored") > 0, F.sequence(F.lit(1), F.size("_scored"))).otherwise(F.array().cast("array<int>"))
-    found = F.coalesce(F.array_max(F.filter(ranks, lambda i: -F.get(F.col("_scored"), i - 1)["less"] >= needed(i))), F.lit(0))
-    added = F.transform(F.slice("_scored", F.lit(1), found), lambda x: x["span"])
-    return out.withColumn("secret_spans", F.array_sort(F.concat("_base", added))).drop("_base", "_likely", "_scored")
+    out = out.withColumn("__vellum_likely", likely)
+    scored = F.when(F.size("__vellum_likely") > 0, F.transform("__vellum_likely", lambda x: F.struct((-_random_bits(x["token"])).alias("less"), x.alias("span")))).otherwise(F.array().cast(f"array<struct<less:double,span:{SPAN}>>"))
+    out = out.withColumn("__vellum_scored", F.array_sort(scored))
+    needed = lambda i: F.log2((F.size("__vellum_scored") / (FALSE_SHARE * i)).cast("double"))
+    ranks = F.when(F.size("__vellum_scored") > 0, F.sequence(F.lit(1), F.size("__vellum_scored"))).otherwise(F.array().cast("array<int>"))
+    found = F.coalesce(F.array_max(F.filter(ranks, lambda i: -F.get(F.col("__vellum_scored"), i - 1)["less"] >= needed(i))), F.lit(0))
+    added = F.transform(F.slice("__vellum_scored", F.lit(1), found), lambda x: x["span"])
+    return out.withColumn("secret_spans", F.array_sort(F.concat("__vellum_base", added))).drop("__vellum_base", "__vellum_likely", "__vellum_scored")
 
 
 def joined(spans: Column) -> Column:
@@ -122,5 +123,6 @@ def joined(spans: Column) -> Column:
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
-    """docs with no secrets found in them; all columns stay."""
-    return scan_secrets(docs).where(F.size("secret_spans") == 0).drop("secret_spans")
+    """The rows of docs in which no secret is found; all columns stay."""
+    held = docs.withColumnRenamed("secret_spans", "__vellum_held")
+    return scan_secrets(held).where(F.size("secret_spans") == 0).drop("secret_spans").withColumnRenamed("__vellum_held", "secret_spans")

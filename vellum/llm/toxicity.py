@@ -289,9 +289,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with tox_score, a double from 0 to 1."""
-    if "tox_score" in docs.columns:
-        raise ValueError("docs has a column tox_score")
+    """docs with tox_score, a double from 0 to 1, in place of any column so called."""
+    docs = docs.drop("tox_score")
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
