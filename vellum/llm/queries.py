@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from vellum.llm import quality, toxicity, url_filter
+from vellum.llm import pii, quality, toxicity, url_filter
 from vellum.llm.chat_format import digest_conversations, probe
 from vellum.llm.decontaminate import find_leaks
 from vellum.llm.near_dup import near_duplicates
@@ -31,6 +31,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs, pii.fit(docs))
+    base = F.filter("pii_spans", lambda x: ~x["added"])
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long")
+    counts = [count(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -79,7 +88,7 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op4_packing, op5_quality, op6_resharding, op7_url_filter, op8_secret_scan, op9_decontamination, op10_minhash_near_dup)}
+    found = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_pii, op4_packing, op5_quality, op6_resharding, op7_url_filter, op8_secret_scan, op9_decontamination, op10_minhash_near_dup)}
     if importlib.util.find_spec("corpus_pipeline"):
         import corpus_pipeline
 
