@@ -29,7 +29,7 @@ from vellum.llm.shared import map_arrow, ship, texts_of
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_ROWS, ROUNDS, SURE = 3000, 8, 0.9
 #: Bounds of the fitted potentials: how far a shape may speak against a kind, how far neighbours and repeats may speak.
-AGAINST, NEIGHBOUR, REPEAT = (0.5, 2.0), 0.5, 4.0
+AGAINST, NEIGHBOUR, REPEAT = (0.5, 1.5), 0.4, 4.0
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
