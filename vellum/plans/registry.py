@@ -1,4 +1,4 @@
-"""All queries over the reference operators, with their SQL."""
+"""All queries over the document operators, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.plans import mrz
+
+MODULES = (mrz,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
