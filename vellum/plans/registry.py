@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import mrz
+from vellum.plans import mrz, pages
 
-MODULES = (mrz,)
+MODULES = (mrz, pages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
