@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,12 +87,8 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_pii, op4_packing, op5_quality, op6_resharding, op7_url_filter, op8_secret_scan, op9_decontamination, op10_minhash_near_dup)}
-    if importlib.util.find_spec("corpus_pipeline"):
-        import corpus_pipeline
-
-        found["pipeline"] = corpus_pipeline.run
-    return found
+    found = (op1_chat_format, op2_toxicity, op3_pii, op4_packing, op5_quality, op6_resharding, op7_url_filter, op8_secret_scan, op9_decontamination, op10_minhash_near_dup)
+    return {f.__name__: f for f in found}
 
 
 #: Words and 2-word shingles as in the contract, exact intersections of all pairs that share a shingle, then reachability.
