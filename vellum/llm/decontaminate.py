@@ -175,7 +175,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
 
             return apply
 
-        part = map_arrow(docs.select("doc_id", "text"), make, "doc_id long, item_id long, n_shingles long, n_shared long, overlap double, question_overlap double, answer_overlap double", rows=256)
+        part = map_arrow(docs.select("doc_id", "text"), make, "doc_id long, item_id long, n_shingles long, n_shared long, overlap double, question_overlap double, answer_overlap double")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -194,5 +194,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFra
 
             return apply
 
-        docs = map_arrow(docs, make, docs.schema, rows=256)
+        docs = map_arrow(docs, make, docs.schema)
     return docs

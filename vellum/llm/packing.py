@@ -203,7 +203,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, cl
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     ship(docs.sparkSession)
-    pieces = map_arrow(docs.select("doc_id", "text"), _pieces(tokenizer, window, close), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", rows=256)
+    pieces = map_arrow(docs.select("doc_id", "text"), _pieces(tokenizer, window, close), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
     pieces = cut(pieces, "pieces")
     bins = max(1, -(-pieces.where("start = 0").count() // BIN))
     dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(bins)))

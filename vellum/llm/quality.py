@@ -203,4 +203,4 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
 
         return apply
 
-    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean", rows=256)
+    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean")

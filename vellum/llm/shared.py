@@ -10,6 +10,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +19,14 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: ASCII upper case to lower case, all else left alone.
 ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
-_SHIPPED = "_vellum_shipped"
+_SHIPPED, _BATCH = "_vellum_shipped", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package's code to the executors once per session, so that Python workers can import it."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, "1000")  # rows of whole texts are large; the default batch of them fills a worker
     if getattr(sc, _SHIPPED, False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -63,17 +66,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema, rows: int = 512) -> DataFrame:
-    """mapInArrow with batches cut to at most `rows` rows, which bounds a worker's memory by rows * text size.
+#: Text that a Python worker takes at once: so many bytes, or one row, and so many rows.
+SLICE_BYTES, SLICE_ROWS = 1_000_000, 256
 
-    make() runs once per task and returns the function applied to every batch.
+
+def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of bounded text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist() if column in batch.schema.names else [0] * batch.num_rows
+    at = held = 0
+    for i, n in enumerate(sizes):
+        if i > at and (held + n > SLICE_BYTES or i - at == SLICE_ROWS):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if batch.num_rows > at:
+        yield batch.slice(at)
+
+
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema) -> DataFrame:
+    """mapInArrow over pieces of bounded text, which bounds a worker's memory whatever the lengths of texts.
+
+    make() runs once per task and returns the function applied to every piece.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = apply(batch.slice(at, rows))
+            for piece in slices(batch):
+                out = apply(piece)
                 if out is not None and out.num_rows:
                     yield out
 
