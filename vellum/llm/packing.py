@@ -30,7 +30,7 @@ WINDOW, CLOSE = 2048, 1
 #: Documents of a bin on average, which bounds a task's memory and the histogram's support.
 BIN = 8192
 #: Words a worker remembers the ids of.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 # What the tokenizer's pattern means for words of printable ASCII and Latin-1 letters; all other texts go to it whole.
 _PLAIN = re.compile(r"[\x09-\x0D\x20-~À-ÖØ-öø-ÿ]*\Z")
@@ -58,10 +58,6 @@ class WordIds:
         self.pieces: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
         split = [_PIECE.findall(w.lower()) for w in words]
         new = list({p for own in split for p in own if p not in self.pieces})
         if new:
@@ -75,25 +71,27 @@ class WordIds:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        if len(self.pieces) > REMEMBERED // 2:
+            self.pieces.clear()
         plain = [t.split() if _PLAIN.match(t) else None for t in texts]
-        known, out = self.words.get, []
+        known = self.words.get
         got = [None if w is None else list(map(known, w)) for w in plain]
-        unknown = {w for words, ids in zip(plain, got, strict=True) if ids is not None and None in ids for w, i in zip(words, ids, strict=True) if i is None}
+        holes = [[] if ids is None else [k for k, i in enumerate(ids) if i is None] for ids in got]
+        unknown = {words[k] for words, own in zip(plain, holes, strict=True) for k in own}
         if unknown:
             self._learn(list(unknown))
-        for text, words, ids in zip(texts, plain, got, strict=True):
+        out = []
+        for text, words, ids, own in zip(texts, plain, got, holes, strict=True):
             if words is None:
                 out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
-            elif None in ids:
-                out.append(b"".join([self.words[w] if i is None and w in self.words else i if i is not None else self._one(w) for w, i in zip(words, ids, strict=True)]))
-            else:
-                out.append(b"".join(ids))
+                continue
+            for k in own:
+                ids[k] = self.words[words[k]]
+            out.append(b"".join(ids))
         return out
 
-    def _one(self, word: str) -> bytes:
-        self._learn([word])
-        return self.words[word]
-
 
 _encoders: dict[str, WordIds] = {}
 
