@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
 
         return apply
 
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(own, "doc_id").select("text", "y")
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(own), "doc_id").select("text", "y")  # about `most` rows, by the filter above
     got = map_arrow(rows, make, "x array<double>, y int, w double").toPandas()
     if got["y"].nunique() < 2:
         return Model()
