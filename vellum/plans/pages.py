@@ -180,7 +180,7 @@ n AS (SELECT *, list_distinct(list_filter(string_split(trim(regexp_replace(repla
 SELECT c_custkey, trim(regexp_replace(messy, '\\s+', ' ', 'g')) AS collapsed, regexp_replace(upper(messy), '[^A-Z0-9]', '', 'g') AS number, trim(regexp_replace(regexp_replace(replace(upper(messy), '<', ' '), '[^A-Z'' -]', ' ', 'g'), '\\s+', ' ', 'g')) AS latin,
   round(length(regexp_replace(messy, '[^A-Za-z]', '', 'g')) / length(regexp_replace(messy, '\\s', '', 'g')), 9) AS latin_ratio, round(CASE WHEN a = b THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END, 9) AS similarity,
   round(len(list_intersect(ta, tb)) / greatest(len(ta), len(tb)), 9) AS shared FROM n""",
-    "free_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 5 THEN NULL WHEN o_orderkey % 6 = 4 THEN CASE WHEN year(o_orderdate) % 100 > 31 THEN '00' ELSE '19' END || strftime(o_orderdate, '%y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS found FROM orders",
+    "free_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 5 THEN NULL WHEN o_orderkey % 6 = 4 THEN CASE WHEN year(o_orderdate) % 100 > 31 THEN '00' || strftime(o_orderdate, '%y-%m-%d') ELSE strftime(try_strptime('19' || strftime(o_orderdate, '%y-%m-%d'), '%Y-%m-%d'), '%Y-%m-%d') END ELSE strftime(o_orderdate, '%Y-%m-%d') END AS found FROM orders",
     "engine_stats": "SELECT event_type, count(*) AS requests, count(*) FILTER (value < 1) AS failures, round(sum(value) / greatest(count(*), 1), 6) AS avg_ms, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS uptime_s FROM events GROUP BY event_type",
     "upload_validation": """WITH f AS (SELECT o_orderkey, o_orderkey % 8 AS k, ['a.JPG', 'b.png', 'c.exe', '', NULL, 'noext'][o_orderkey % 6 + 1] AS name, CASE WHEN o_orderkey % 7 = 0 THEN 100 ELSE 1000 END AS w, CASE WHEN o_orderkey % 11 = 0 THEN 60000 ELSE 800 END AS h FROM orders),
 g AS (SELECT *, CASE WHEN k = 7 THEN 0 ELSE [3, 8, 2, 4, 4, 13, 1][k + 1] + CASE WHEN o_orderkey % 5 = 0 THEN 10 ELSE 400 END END AS size_bytes, ['image/jpeg', 'image/png', 'image/bmp', 'image/tiff', 'image/tiff', 'image/webp', NULL, NULL][k + 1] AS mime FROM f)
