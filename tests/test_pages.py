@@ -1,6 +1,7 @@
 import datetime
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
@@ -8,9 +9,11 @@ from vellum.operators import labels as V
 from vellum.operators import layout as L
 from vellum.operators import ratelimit as R
 from vellum.operators import redact as X
+from vellum.plans import pages, sql
 from vellum.sources import recognised, uploads
 from vellum.streaming import ratelimit as SR
 
+DIR = "/root/testdata/sf0.001"
 BLOCKS = "doc_id long, block_no int, text string, confidence double, polygon array<struct<x:double,y:double>>, lang string"
 
 
@@ -73,6 +76,18 @@ def test_regions(spark):
     assert [(x.text, x.line_count) for x in found.orderBy("region_no").collect()] == [("a\nb", 2), ("c", 1)]
 
 
+def test_boxes_of_every_order_are_scanned(spark):
+    """Against the decoding in SQL of all zones, short first lines (class 4) and fillers in the state (class 7) too."""
+    con = duckdb.connect()
+    for name in ("orders", "customer"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DIR}/{name}.parquet'")
+    expected = con.execute(f"{sql.TD3} SELECT o_orderkey, 'TD3', document_number, surname, structure_valid, check_digits_valid FROM d").fetchall()
+    got = pages.boxes_scan_zone(spark, DIR).collect()
+    assert sorted(tuple(x)[:-1] for x in got) == sorted(expected) and {x.ocr_confidence for x in got} == {0.9}
+    assert {x.o_orderkey % 8 for x in got} == set(range(8)) and len(got) == con.execute("SELECT count(*) FROM orders").fetchone()[0]
+    assert {(x.o_orderkey % 8, x.structure_valid) for x in got if x.o_orderkey % 8 in (4, 7)} == {(4, True), (7, False)}
+
+
 def test_labelled_fields(spark):
     pages = [
         [box(1, 1, "Issuing Authority", x=300, w=120), box(1, 2, "DAMMAM", x=100, w=80)],

@@ -56,8 +56,8 @@ def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _zone_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zones as boxes: the first line in two halves, the second whole, and a heading above."""
-    z = derive.damaged_zones(spark, sf_dir).where("damage in (0, 1, 2, 3, 5, 6)")
+    """Zones of every damage class as boxes: the first line in two halves, the second whole, and a heading above."""
+    z = derive.damaged_zones(spark, sf_dir)
     box = lambda n, text, x, y, w: F.struct(F.lit(n).alias("block_no"), text.alias("text"), F.lit(0.9).alias("confidence"), F.array(*(F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in ((x, y), (x + w, y), (x + w, y + 20), (x, y + 20)))).alias("polygon"), F.lit("en").alias("lang"))
     boxes = F.array(box(1, F.substring("line1", 21, 24), 300, 702, 300), box(2, F.lit("REPUBLIC"), 40, 40, 90), box(3, F.substring("line1", 1, 20), 20, 700, 270), box(4, F.col("line2"), 20, 740, 580))
     return z.select("o_orderkey", F.explode(boxes).alias("b")).select("o_orderkey", "b.*")
