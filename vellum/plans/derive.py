@@ -67,12 +67,15 @@ def damaged_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """o_orderkey, text (the first line of a document, then a damaged zone), ocr_confidence."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("first"))
+    """o_orderkey, row, text, ocr_confidence: for each order a whole document and then a damaged zone (row is null), and each
+    document by itself, since orders may not reach all: o_orderkey is then -1 - doc_id, and row tells repeated ids apart."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), "text")
     n = table(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("n"))
     zones = damaged_zones(spark, sf_dir).crossJoin(n)  # one row
     joined = zones.join(docs, F.col("o_orderkey") % F.col("n") == F.col("d"), "left")
-    return joined.select("o_orderkey", F.concat_ws("\n", "first", "line1", "line2").alias("text"), "ocr_confidence")
+    pages = joined.select("o_orderkey", F.lit(None).cast("long").alias("row"), F.concat_ws("\n", "text", "line1", "line2").alias("text"), "ocr_confidence")
+    alone = docs.select((-1 - F.col("d")).alias("o_orderkey"), F.monotonically_increasing_id().alias("row"), "text", F.lit(0.94).alias("ocr_confidence"))
+    return pages.unionByName(alone)
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
