@@ -52,5 +52,23 @@ def test_reshard(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(got)
 
 
+def test_rewrite_keeps_every_row_and_other_shards(spark, tmp_path):
+    path = str(tmp_path / "out")
+    given = [(None, "a", 0, "p"), (None, "a", 0, "q"), (None, "b", 1, "r"), (7, "c", 0, "s"), (7, "c", 0, "s"), (7, None, 1, "t"), (8, "d", 2, "u"), (9, "e", 3, "v"), (9, "e", 2, "w"), (5, "f", 4, "x")]
+    spark.createDataFrame(given, "doc_id long, text string, shard int, tag string").write.partitionBy("shard").parquet(path)
+    docs = spark.read.parquet(path)
+    to = {0: 1, 1: 1, 2: 2, 3: 3, 4: 4}
+    rows = [(i, len(t or "") + 1, zlib.crc32((t or "").encode()), old, to[old]) for i, t, old, _ in given]
+    # shard 0 empties into 1; rows (9, e) lie in 2 and 3 and stay; 4 has no part in it
+    plan = [(*x, k) for k, x in enumerate(rows)]
+    untouched = sorted(p.name for p in (tmp_path / "out" / "shard=4").iterdir())
+    R.rewrite(docs, spark.createDataFrame(plan, "doc_id long, size long, text_crc32 long, old_shard int, shard int, slot long"), path)
+    got = spark.read.parquet(path).collect()
+    assert sorted((str(x.doc_id), str(x.text), x.tag) for x in got) == sorted((str(i), str(t), tag) for i, t, _, tag in given)
+    assert sorted(x.shard for x in got) == sorted(to[old] for _, _, old, _ in given)
+    assert sorted(p.name for p in (tmp_path / "out" / "shard=4").iterdir()) == untouched
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["shard=1", "shard=2", "shard=3", "shard=4"]
+
+
 def test_empty(spark):
     assert R.reshard(rows(spark).where("doc_id < 0"), F.col("old")).count() == 0

@@ -13,6 +13,7 @@ sorts a shard. Null texts count as empty (size 1, crc 0). Rows that repeat stay
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
@@ -147,10 +148,48 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, text: str = "te
     return numbered.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("nth") - 1).cast("long").alias("slot"))
 
 
-def rewrite(docs: DataFrame, assignment: DataFrame, path: str) -> None:
-    """Write the files of the shards that change: every row whose new shard gains or loses one, by new shard, under path.
-    assignment is reshard()'s result; doc_id must identify rows."""
-    moved = assignment.where("shard <> old_shard")
-    touched = moved.select("shard").union(moved.select(F.col("old_shard").alias("shard"))).distinct()
-    rows = assignment.join(F.broadcast(touched), "shard", "left_semi").select("doc_id", "shard", "slot")
-    docs.join(rows, "doc_id").write.partitionBy("shard").mode("overwrite").parquet(path)
+def rewrite(docs: DataFrame, assignment: DataFrame, path: str, text: str = "text") -> None:
+    """Write the files of the shards that change, each whole, in place of the folders of these shards under path; others stay.
+    assignment is reshard()'s result of docs; shard and slot replace columns of docs so called.
+
+    Rows are met by doc_id (null too), size and hash of the text, and their number among rows that agree in these. Such rows
+    may differ elsewhere, so if they lie in several shards, all of those are written. The files are made in a staging folder
+    first, so docs may be read from path; old folders are kept in it until all new ones are in place."""
+    spark = docs.sparkSession
+    own = ["doc_id", "size", "text_crc32"]
+    both = F.array("old_shard", "shard")
+    moved = assignment.where("shard <> old_shard").select(F.explode(both).alias("shard"))
+    alike = assignment.groupBy(*own).agg(F.flatten(F.collect_set(both)).alias("shards"), F.count_distinct("old_shard", "shard").alias("n")).where("n > 1")
+    touched = sorted(r.shard for r in moved.union(alike.select(F.explode("shards"))).distinct().collect())
+    if not touched:
+        return
+    data = F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))
+    keyed = docs.drop("shard", "slot").withColumns({"_size": (F.octet_length(data) + 1).cast("long"), "_crc": F.crc32(data)})
+    whole = F.xxhash64(*(f.name for f in keyed.schema.fields if "map<" not in f.dataType.simpleString()))  # the same order in a task run again
+    keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_size", "_crc").orderBy(whole)))
+    rows = assignment.withColumn("_n", F.row_number().over(Window.partitionBy(*own).orderBy("shard", "slot")))
+    rows = rows.where(F.col("shard").isin(touched)).select(F.col("doc_id").alias("_id"), F.col("size").alias("_s"), F.col("text_crc32").alias("_c"), "_n", "shard", "slot")
+    met = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_s")) & (F.col("_crc") == F.col("_c")) & (F.col("_nth") == F.col("_n"))
+    joined = keyed.join(rows, met).drop("_size", "_crc", "_nth", "_id", "_s", "_c", "_n")
+
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    stage = f"{path.rstrip('/')}/.rewrite-{uuid.uuid4().hex}"  # readers skip names with a dot
+    files = Path(stage).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def rename(a: str, b: str) -> None:
+        if not files.rename(Path(a), Path(b)):
+            raise OSError(f"can't move {a} to {b}; the old files are in {stage}/old")
+
+    try:
+        joined.write.partitionBy("shard").parquet(f"{stage}/new")
+    except Exception:
+        files.delete(Path(stage), True)
+        raise
+    files.mkdirs(Path(f"{stage}/old"))
+    for name in (f"shard={n}" for n in touched):
+        if files.exists(Path(f"{path}/{name}")):
+            rename(f"{path}/{name}", f"{stage}/old/{name}")
+        if files.exists(Path(f"{stage}/new/{name}")):
+            rename(f"{stage}/new/{name}", f"{path}/{name}")
+    files.delete(Path(stage), True)
+    spark.catalog.refreshByPath(path)
