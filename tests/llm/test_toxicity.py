@@ -76,6 +76,18 @@ def test_learns_and_scores_held_out_rows(spark):
     assert T.score(docs, fitted).count() == docs.count()
 
 
+def test_misspellings_of_words_that_a_stem_covers(spark):
+    forms = ["idiot", "idiots", "idiotic", "idiocy"]
+    rows = [(k, f"some plain words {forms[k // 2 % 4] if k % 2 else 'only'} here", k % 2) for k in range(400)]
+    entries = T.learn_lexicon(spark.createDataFrame(rows, "row long, text string, y int"))
+    assert any(e[1] for e in entries) and {("idiot", 1), ("idiotic", 1)} <= {(e[0], e[2]) for e in entries if not e[1]}
+    grid = Grid(["idoit ideot iidiot idiot idiots plain"], plain=True)
+    hits = T.Automaton([e[:3] for e in entries]).hits(grid)
+    assert sorted((w, edits) for w, _, edits in hits) == [(0, 1), (1, 1), (2, 1), (3, 0), (4, 0)]
+    both = T.Automaton([("idiot", True, 0), ("idiot", False, 1)]).hits(grid)
+    assert sorted(both) == [(0, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 0), (4, 0, 0)]
+
+
 def test_nothing_to_learn_from(spark):
     docs, labels = table(spark, 30)
     fitted = T.fit(docs, labels.where("toxic = 0"))

@@ -1,6 +1,7 @@
 """Toxicity: a learned lexicon, matched with misspellings by Levenshtein automata, scored by context.
 
 The lexicon (words, and stems that stand for all words that begin so) is learned from labelled rows by smoothed log-odds.
+A stem is matched as it is; the words it covers stay beside it, so that their misspellings are met too.
 Words of 5 letters may differ by one edit and of 9 by two (insertions, deletions, substitutions, swaps of neighbours, and digits
 that stand for letters). The automata of all words are run together: a state is a set of (trie node, edits) positions, and
 states become rows of one transition table when texts first reach them. All words of a batch advance through the table in
@@ -29,7 +30,7 @@ from vellum.llm.wordgrid import Grid, regress
 
 #: Labelled rows a model is fitted on, at most (in expectation; they are picked by hash).
 TRAIN_ROWS = 8000
-#: Lexicon entries at most: a bound on the model, not on the corpus.
+#: Lexicon entries at most, without the words beside stems: a bound on the model, not on the corpus.
 LEXICON = 400
 WINDOW_WORDS = 4
 QUOTED, REPORTED, ADDRESSED, MISSPELT = 0.3, 0.6, 1.3, 0.7
@@ -52,7 +53,8 @@ class Automaton:
 
     def __init__(self, entries: list[tuple[str, bool, int]]):
         self.children: list[dict[str, int]] = [{}]
-        self.end: list[tuple[int, bool] | None] = [None]
+        self.end: list[int | None] = [None]
+        self.stem_end: list[int | None] = [None]  # apart, as a word may be a stem too
         self.most = [0]
         self.edits = [e for _, _, e in entries]
         for k, (text, is_stem, edits) in enumerate(entries):
@@ -63,10 +65,11 @@ class Automaton:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.end.append(None)
+                    self.stem_end.append(None)
                     self.most.append(0)
                 node = self.children[node][c]
                 self.most[node] = max(self.most[node], edits)
-            self.end[node] = (k, is_stem)
+            (self.stem_end if is_stem else self.end)[node] = k
         letters = sorted({c for t, _, _ in entries for c in t})
         self.letters = ["", *letters]
         self.classes = np.zeros(65536, dtype=np.int64)
@@ -102,9 +105,9 @@ class Automaton:
             if s == len(self.table):
                 self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
                 self.stem = np.concatenate([self.stem, np.full_like(self.stem, -1)])
-            ends = [(e, self.end[node][0]) for node, e, *swap in own if not swap and self.end[node] and not self.end[node][1] and e <= self.edits[self.end[node][0]]]
+            ends = [(e, self.end[node]) for node, e, *swap in own if not swap and self.end[node] is not None and e <= self.edits[self.end[node]]]
             self.accept.append((min(ends)[1], min(ends)[0]) if ends else None)
-            stems = [self.end[node][0] for node, e, *swap in own if not swap and e == 0 and self.end[node] and self.end[node][1]]
+            stems = [self.stem_end[node] for node, e, *swap in own if not swap and e == 0 and self.stem_end[node] is not None]
             if stems:
                 self.stem[s] = min(stems)
         return self.states[own]
@@ -227,24 +230,26 @@ def learn_lexicon(rows: DataFrame, most: int = LEXICON) -> list[tuple[str, bool,
     found = (
         entries.where("y = 1").groupBy("entry", "stem").agg(F.count_distinct("row").alias("toxic"), F.count_distinct("token").alias("forms"))
         .where((F.col("toxic") >= least) & (~F.col("stem") | (F.col("forms") >= 4)))
-        .orderBy(F.desc("toxic"), "entry", "stem").limit(50 * most)
     )
     found = cut(found, "lexicon")
-    seen = entries.where("y = 0").join(F.broadcast(found.select("entry", "stem")), ["entry", "stem"]).groupBy("entry", "stem").agg(F.count_distinct("row").alias("clean"))
-    odds = []
-    for r in found.join(seen, ["entry", "stem"], "left").fillna(0, ["clean"]).collect():
-        weight = np.log((r.toxic + 0.5) / (toxic + 1)) - np.log((r.clean + 0.5) / (clean + 1))
-        # purity by a lower bound, so that chance meetings of rare words with few toxic rows don't enter
-        if weight > 1.5 and (r.toxic - 1.5 * np.sqrt(r.toxic)) / toxic > 4 * (r.clean + 0.5) / clean:
-            odds.append((r.entry, r.stem, r.toxic, r.clean, float(weight)))
+    seen = entries.where("y = 0").join(found.select("entry", "stem"), ["entry", "stem"]).groupBy("entry", "stem").agg(F.count_distinct("row").alias("clean"))
+    # purity by a lower bound, so that chance meetings of rare words with few toxic rows don't enter; before any limit
+    weight = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
+    pure = (F.col("toxic") - 1.5 * F.sqrt("toxic")) / toxic > 4 * (F.col("clean") + 0.5) / clean
+    passed = found.join(seen, ["entry", "stem"], "left").fillna(0, ["clean"]).withColumn("weight", weight).where((F.col("weight") > 1.5) & pure)
+    odds = [(r.entry, r.stem, r.toxic, r.clean, r.weight) for r in passed.collect()]
     stems = sorted((o for o in odds if o[1]), key=lambda o: len(o[0]))
     kept: list[tuple] = []
     for o in stems:  # the shortest of nested stems stands for the longer
         if not any(o[0].startswith(k[0]) for k in kept):
             kept.append(o)
     chosen = kept + [o for o in odds if not o[1] and not any(o[0].startswith(k[0]) for k in kept)]
-    chosen.sort(key=lambda o: (-o[2] * o[4], o[0]))
-    return [(o[0], o[1], 0 if o[1] else edits_for(o[0]), min(o[4], 8.0) / 8.0) for o in chosen[:most]]
+    rank = lambda o: (-o[2] * o[4], o[0])
+    chosen = sorted(chosen, key=rank)[:most]
+    # a stem takes no edit: the words it covers stay beside it, outside the bound, for their misspellings
+    short = [o[0] for o in chosen if o[1]]
+    chosen += sorted((o for o in odds if not o[1] and edits_for(o[0]) and any(o[0].startswith(s) for s in short)), key=rank)
+    return [(o[0], o[1], 0 if o[1] else edits_for(o[0]), min(o[4], 8.0) / 8.0) for o in chosen]
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
