@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if its files make fewer: rows here are narrow, and what is done with each
+    is not. Tables of more files are left as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ref():
     return F.lit(REF_DATE).cast("date")
 
@@ -22,7 +29,7 @@ def ref():
 def zone_fields(spark: SparkSession, sf_dir: str, mrz_type=None) -> DataFrame:
     """Field values of a zone for each order. Customers are joined on their key; the optimizer broadcasts them only while
     they are small."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     key = F.col("o_orderkey")
     state = F.concat(F.lit("U"), F.char(F.col("c_nationkey") + 65), F.lit("A"))
@@ -67,22 +74,19 @@ def damaged_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """o_orderkey, row, text, ocr_confidence: for each order a whole document and then a damaged zone (row is null), and each
-    document by itself, since orders may not reach all: o_orderkey is then -1 - doc_id, and row tells repeated ids apart."""
+    """o_orderkey, text, ocr_confidence: for each order a whole document and then a damaged zone."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), "text")
     n = table(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("n"))
     zones = damaged_zones(spark, sf_dir).crossJoin(n)  # one row
     joined = zones.join(docs, F.col("o_orderkey") % F.col("n") == F.col("d"), "left")
-    pages = joined.select("o_orderkey", F.lit(None).cast("long").alias("row"), F.concat_ws("\n", "text", "line1", "line2").alias("text"), "ocr_confidence")
-    alone = docs.select((-1 - F.col("d")).alias("o_orderkey"), F.monotonically_increasing_id().alias("row"), "text", F.lit(0.94).alias("ocr_confidence"))
-    return pages.unionByName(alone)
+    return joined.select("o_orderkey", F.concat_ws("\n", "text", "line1", "line2").alias("text"), "ocr_confidence")
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of an order's lines: doc_id, block_no, text, confidence, polygon, lang."""
     from pyspark.sql import Window
 
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_linestatus")
+    items = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_linestatus"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     x0, y0 = ((F.col("l_partkey") % 20) * 40).cast("double"), ((F.col("l_suppkey") % 12) * 18).cast("double")

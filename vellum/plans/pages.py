@@ -166,7 +166,7 @@ r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ro) - 1 AS region_no
 SELECT doc_id, CAST(region_no AS INTEGER) AS region_no, md5(string_agg(text, chr(10) ORDER BY ro)) AS text_md5, round(avg(confidence), 6) AS confidence, count(*) AS line_count, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM r GROUP BY doc_id, region_no""",
     "layout_page_summary": f"{_B} SELECT doc_id, round(avg(confidence), 6) AS mean, round(min(confidence), 6) AS least, round(max(confidence), 6) AS most, round(sum(length(trim(text)) * confidence), 6) AS readability, CAST(sum(len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> ''))) AS BIGINT) AS words, avg(confidence) < 0.55 AND avg(confidence) <> 0 AS low_confidence FROM b GROUP BY doc_id",
     "iou_pairs": f"{_B}, p AS (SELECT a.doc_id, a.block_no AS first, b.block_no AS second, {_IOU} AS common, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS sizes FROM b a JOIN b ON a.doc_id = b.doc_id AND a.block_no < b.block_no) SELECT doc_id, first, second, round(common / (sizes - common), 9) AS iou FROM p WHERE common > 0",
-    "boxes_scan_zone": f"{sql.TD3} SELECT o_orderkey, 'TD3' AS mrz_type, document_number, surname, structure_valid, check_digits_valid, 0.9 AS ocr_confidence FROM d WHERE damage IN (0, 1, 2, 3, 5, 6)",
+    "boxes_scan_zone": f"{sql.TD3} SELECT o_orderkey, 'TD3' AS mrz_type, document_number, surname, structure_valid, check_digits_valid, 0.9 AS ocr_confidence FROM d",
     "labelled_fields": "SELECT o_orderkey, 'issuing_authority' AS field, c_mktsegment AS value, 0.9 AS confidence, CASE WHEN o_orderkey % 4 = 2 THEN 'merged' ELSE 'adjacent' END AS source FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 4 < 3",
     "labels_without_value": "SELECT o_orderkey, 'issuing_authority' AS field FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 4 = 3",
     "ratelimit_fixed_window": "SELECT user_id AS key, event_id, row_number() OVER w <= 3 AS allowed, CASE WHEN row_number() OVER w <= 3 THEN 0 ELSE 86400 END AS retry_after FROM events WINDOW w AS (PARTITION BY user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) ORDER BY ts, event_id)",
