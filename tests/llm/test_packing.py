@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from tokenizers import Tokenizer
 
 from vellum.llm import packing as P
 
@@ -13,10 +14,36 @@ def test_ids_equal_the_tokenizer():
     r = random.Random(4)
     parts = ["Hello", "it's", "I'LL", "über", "ÀÉ", "don't!", "x1y22", "...", "'", "''s", "été,", "<|endoftext|>", "a" * 300, "日本", "é", " ", "\x1c", "\x85", "İ", "ſ", "\x7f", "½", "×", "_~`"]
     texts = ["".join(r.choice(parts) + r.choice(["", " ", "\n", "\t "]) for _ in range(r.randrange(40))) for _ in range(500)] + ["", " "]
-    words = P.WordIds(PATH)
-    expected = [np.array(e.ids, dtype="<u4").tobytes() for e in words.whole.encode_batch(texts, add_special_tokens=False)]
+    texts += ["x<|endoftext|>y", "a <|STARTOFTEXT|> b", "wörd " * 30_000, "x" * 200_000]
+    words, plain = P.WordIds(PATH), Tokenizer.from_file(PATH)
+    assert words.splits
+    expected = [np.array(e.ids, dtype="<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
     assert words.ids(texts) == expected
     assert words.ids(texts) == expected  # again, with what it remembers
+    words.splits = False  # as for a file that splits otherwise
+    assert words.ids(texts) == expected
+
+
+def test_memories_turn_over(monkeypatch):
+    monkeypatch.setattr(P, "REMEMBERED", 3)
+    words, plain = P.WordIds(PATH), Tokenizer.from_file(PATH)
+    for t in ["one two three four five", "one six", "seven one two", "one two three four five six"] * 2:
+        assert words.ids([t])[0] == np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_combinations_by_use_and_for_wide_windows():
+    lengths = np.arange(1, 8192)
+    found = P.combinations(lengths, np.ones(len(lengths), dtype=int), 8192)
+    assert len(found) >= 3000 and (found.sum(axis=1) == 8192).all() and (found[:, 2] == 0).sum() == 4096
+    few = P.combinations(np.array([2, 3, 5]), np.array([9, 1, 9]), 10, most=2)
+    assert few.tolist() == [[5, 5, 0], [5, 3, 2]]
+
+
+def test_repeated_rows_spread_over_bins(spark, monkeypatch):
+    monkeypatch.setattr(P, "BIN", 16)
+    df = spark.range(400).selectExpr("1L AS doc_id", "'one same text' AS text")
+    got = P.pack(df, PATH).collect()
+    assert len(got) == 400 and len({r.sequence_id >> 32 for r in got}) > 10
 
 
 def test_plan_is_a_partition_with_little_padding():

@@ -7,16 +7,18 @@ from the bin's length histogram, non-negative least squares finds repeat counts
 rounded down and realised, and best-fit decreasing packs what is left. A sequence's offsets are gapless from 0; its padding
 goes up to the window unless its length is a power of two.
 
-Null texts count as empty and consist of the closing id alone. Repeated rows are packed as separate documents.
+Ids are those of the tokenizer's own encode(): text that spells a special token is that token. Null texts count as empty and
+consist of the closing id alone. Repeated rows are packed as separate documents.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,19 +29,36 @@ from pyspark.sql import functions as F
 from vellum.llm.shared import cut, map_arrow, ship, texts_of
 
 WINDOW, CLOSE = 2048, 1
-#: Documents of a bin on average, which bounds a task's memory and the histogram's support.
+#: Pieces of a bin on average, which bounds a task's memory and the histogram's support.
 BIN = 8192
-#: Words a worker remembers the ids of.
-REMEMBERED = 500_000
-
-# What the tokenizer's pattern means for words of printable ASCII and Latin-1 letters; all other texts go to it whole.
+#: Pieces of words that each of a worker's two memories holds the ids of, and characters that are split into pieces at once.
+REMEMBERED, STRETCH = 250_000, 65_536
+
+# The normalizer and the pre-tokenizer that the short way is for. What they mean for printable ASCII and Latin-1
+# letters is _PIECE on the text in lower case; all other texts, and all texts of other files, go to the tokenizer.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 _PLAIN = re.compile(r"[\x09-\x0D\x20-~À-ÖØ-öø-ÿ]*\Z")
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[!-/:-@\[-`{-~]+")
+
+
+class Memory(dict):
+    """Pieces with their ids; what is missing is taken from an older memory, or else encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes], older: dict[str, bytes]):
+        super().__init__()
+        self.encode, self.older = encode, older
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        self[piece] = found = self.encode(piece) if found is None else found
+        return found
 
 
 class WordIds:
-    """Ids of texts under a word tokenizer's file: whole texts by the tokenizer, or, where a text has only plain characters,
-    word by word, each distinct one encoded once. Both give the same ids: the tokenizer's pattern never crosses white space."""
+    """Ids of texts under a tokenizer's file, as the tokenizer gives them without added special tokens. Where the file splits
+    words as above and a text has only plain characters, it is split here and each distinct piece is encoded once."""
 
     def __init__(self, path: str):
         import json
@@ -47,52 +66,45 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        parts = json.loads(self.whole.to_str()) | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
-        self.bare = Tokenizer.from_str(json.dumps(parts))
+        parts = json.loads(self.whole.to_str())
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in parts["added_tokens"]) or r"(?!)", re.IGNORECASE)
+        self.splits = parts["normalizer"] == _NORMALIZER and parts["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]} and parts["post_processor"] is None
+        self.bare = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
         letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.letters = {c: "".join(letter[b] for b in chr(c).encode()) for c in [*range(33, 127), *range(0xC0, 0x100)]}
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        split = [_PIECE.findall(w.lower()) for w in words]
-        new = list({p for own in split for p in own if p not in self.pieces})
-        if new:
-            found = self.bare.encode([p.translate(self.letters) for p in new], is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(found.ids, dtype="<u4").tobytes()
-            at = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(new) + 1))).tolist()
-            for p, a, b in zip(new, at[:-1], at[1:], strict=True):
-                self.pieces[p] = raw[a:b]
-        for w, own in zip(words, split, strict=True):
-            self.words[w] = b"".join([self.pieces[p] for p in own])
+        self.pieces = Memory(self._encode, {})
+
+    def _encode(self, piece: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.bare.model.tokenize(piece.translate(self.letters))])
+
+    def _plain(self, text: str) -> bytes:
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = Memory(self._encode, dict(self.pieces))
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.pieces) > REMEMBERED // 2:
-            self.pieces.clear()
-        plain = [t.split() if _PLAIN.match(t) else None for t in texts]
-        known = self.words.get
-        got = [None if w is None else list(map(known, w)) for w in plain]
-        holes = [[] if ids is None else [k for k, i in enumerate(ids) if i is None] for ids in got]
-        unknown = {words[k] for words, own in zip(plain, holes, strict=True) for k in own}
-        if unknown:
-            self._learn(list(unknown))
+        """Little-endian unsigned 32-bit ids of each text. Pieces never cross a space, so long texts are cut before some."""
         out = []
-        for text, words, ids, own in zip(texts, plain, got, holes, strict=True):
-            if words is None:
-                out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
-                continue
-            for k in own:
-                ids[k] = self.words[words[k]]
-            out.append(b"".join(ids))
+        for text in texts:
+            if self.special.search(text):
+                stretches, plain = [text], False
+            else:
+                stretches, plain = _stretches(text) if self.splits else [text], self.splits and _PLAIN.match(text)
+            out.append(b"".join([self._plain(t) if plain else np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in stretches]))
         return out
 
 
+def _stretches(text: str) -> list[str]:
+    """A text in parts of about STRETCH characters, cut before spaces."""
+    out, at = [], 0
+    while len(text) - at > STRETCH and (to := text.find(" ", at + STRETCH)) > 0:
+        out.append(text[at:to])
+        at = to
+    return [*out, text[at:]]
+
+
 _encoders: dict[str, WordIds] = {}
 
 
@@ -105,10 +117,10 @@ def encoder(path: str) -> WordIds:
 
 def _pieces(path: str, window: int, close: int):
     def make():
-        words, end = encoder(path), np.array([close], dtype="<u4").tobytes()
+        words, end, seen = encoder(path), np.array([close], dtype="<u4").tobytes(), itertools.count()
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            row, start, length, crc, total = [], [], [], [], []
+            row, start, length, crc, total, nth = [], [], [], [], [], []
             for i, ids in enumerate(words.ids(texts_of(batch))):
                 ids += end
                 n = len(ids) // 4
@@ -119,8 +131,9 @@ def _pieces(path: str, window: int, close: int):
                     length.append(len(own) // 4)
                     crc.append(zlib.crc32(own))
                     total.append(n)
+                    nth.append(next(seen))
             docs = batch.column("doc_id").take(pa.array(row, pa.int32()))
-            return pa.RecordBatch.from_arrays([docs, *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            return pa.RecordBatch.from_arrays([docs, *(pa.array(x, pa.int64()) for x in (start, length, crc, total, nth))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth"])
 
         return apply
 
@@ -148,12 +161,14 @@ def solve(columns: np.ndarray, target: np.ndarray, rounds: int = 60) -> np.ndarr
 
 
 def combinations(lengths: np.ndarray, counts: np.ndarray, window: int, most: int = 3000) -> np.ndarray:
-    """Rows of three lengths (0 for none) that fill the window: all pairs, then triples of the most frequent lengths."""
-    have = set(lengths.tolist())
-    pairs = [(a, window - a, 0) for a in lengths.tolist() if a <= window - a and window - a in have]
+    """Rows of three lengths (0 for none) that fill the window: all pairs, then triples, those first whose rarest length is the
+    most frequent, up to `most` rows. What no row takes up is packed by best fit."""
+    times = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+    pairs = [(a, window - a, 0) for a in lengths.tolist() if a <= window - a and window - a in times]
     common = lengths[np.argsort(-counts, kind="stable")][:160].tolist()
-    triples = {tuple(sorted((a, b, window - a - b), reverse=True)) for i, a in enumerate(common) for b in common[i:] if window - a - b > 0 and window - a - b in have}
-    return np.array(pairs + sorted(triples, reverse=True)[: most - len(pairs)], dtype=np.int64).reshape(-1, 3)
+    triples = {tuple(sorted((a, b, window - a - b), reverse=True)) for i, a in enumerate(common) for b in common[i:] if window - a - b > 0 and window - a - b in times}
+    ranked = sorted(triples, key=lambda t: (-min(times[n] / t.count(n) for n in t), t))
+    return np.array(pairs + ranked[: max(0, most - len(pairs))], dtype=np.int64).reshape(-1, 3)
 
 
 def plan(lengths: list[int], window: int = WINDOW) -> list[list[int]]:
@@ -201,10 +216,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, cl
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     ship(docs.sparkSession)
-    pieces = map_arrow(docs.select("doc_id", "text"), _pieces(tokenizer, window, close), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    pieces = map_arrow(docs.select("doc_id", "text"), _pieces(tokenizer, window, close), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, nth long")
     pieces = cut(pieces, "pieces")
-    bins = max(1, -(-pieces.where("start = 0").count() // BIN))
-    dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(bins)))
+    bins = max(1, -(-pieces.count() // BIN))
+    # repeated rows, which agree in all else, are told apart by their place in the task that read them
+    dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start", "nth"), F.lit(bins))).drop("nth")
 
     def one(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         frame = frame.sort_values(["doc_id", "start", "ids_crc32"], ignore_index=True)
