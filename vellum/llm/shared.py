@@ -54,12 +54,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: short lineage that survives lost executors."""
+def cut(df: DataFrame, name: str = "stage", files: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: short lineage that survives lost executors. files: at most so
+    many, for what is known to be small."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/vellum-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._vellum_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a cut() that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._vellum_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +82,8 @@ SLICE_BYTES, SLICE_ROWS = 1_000_000, 256
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """A batch in pieces of bounded text."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist() if column in batch.schema.names else [0] * batch.num_rows
+    texts = batch.column(column) if column in batch.schema.names else None
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist() if texts is not None and pa.types.is_string(texts.type) else [0] * batch.num_rows
     at = held = 0
     for i, n in enumerate(sizes):
         if i > at and (held + n > SLICE_BYTES or i - at == SLICE_ROWS):
@@ -83,8 +94,8 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         yield batch.slice(at)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema) -> DataFrame:
-    """mapInArrow over pieces of bounded text, which bounds a worker's memory whatever the lengths of texts.
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema, text: str = "text") -> DataFrame:
+    """mapInArrow over pieces of bounded text (of the column so called), which bounds a worker's memory whatever the lengths.
 
     make() runs once per task and returns the function applied to every piece.
     """
@@ -92,7 +103,7 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, text):
                 out = apply(piece)
                 if out is not None and out.num_rows:
                     yield out
