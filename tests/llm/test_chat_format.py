@@ -66,3 +66,16 @@ def test_queries(spark):
         assert sum(len(C.unescape(w.formatted[s.start : s.end])) for s in w.loss_spans) == x.loss_chars
     assert C.digest_conversations(df.where("conv_id < 0")).count() == 0
     assert C.digest_conversations(C.probe(spark)).first().loss_chars == 21
+
+
+def test_constant_elif_is_no_else():
+    from vellum.llm import chat_format as C
+
+    made = C.parse("{% if a %}1{% elif 'k' %}2{% else %}3{% endif %}")
+    assert made
+    for bad in ("{% if a %}1{% else %}2{% elif b %}3{% endif %}", "{% if a %}1{% else %}2{% else %}3{% endif %}"):
+        try:
+            C.parse(bad)
+        except C.TemplateError:
+            continue
+        raise AssertionError(bad)

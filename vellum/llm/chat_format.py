@@ -68,6 +68,10 @@ class Const:
     value: object
 
 
+#: The condition of else, told from a constant elif by identity.
+ELSE = Const(True)
+
+
 @dataclass(frozen=True)
 class Name:
     path: tuple[str, ...]
@@ -210,10 +214,10 @@ def parse(template: str) -> tuple:
             stack.append(("if", [], [(_Expression(rest).whole(), None)]))
         elif word in ("elif", "else"):
             kind, body, branches = stack.pop()
-            if kind != "if" or isinstance(branches[-1][0], Const) and len(branches) > 1:
-                raise TemplateError(f"{word} outside of if")
+            if kind != "if" or branches[-1][0] is ELSE:
+                raise TemplateError(f"{word} outside of if, or after else")
             branches[-1] = (branches[-1][0], tuple(body))
-            stack.append(("if", [], [*branches, (_Expression(rest).whole() if word == "elif" else Const(True), None)]))
+            stack.append(("if", [], [*branches, (_Expression(rest).whole() if word == "elif" else ELSE, None)]))
         elif word == "generation":
             stack.append(("generation", [], None))
         elif word in ("endfor", "endif", "endgeneration"):
