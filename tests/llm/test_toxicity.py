@@ -93,3 +93,31 @@ def test_nothing_to_learn_from(spark):
     fitted = T.fit(docs, labels.where("toxic = 0"))
     assert fitted.entries == [] and {x.tox_score < 0.5 for x in T.score(docs, fitted).collect()} == {True}
     assert T.score(docs.where("doc_id < 0"), fitted).count() == 0
+
+
+def test_quotations_of_any_length_and_letters_beyond_the_plane():
+    model = T.Model([("idiot", False, 0, 1.0), ("\U0001d4f2\U0001d4ed\U0001d4f2\U0001d4f8\U0001d4fd", False, 1, 1.0)])
+    far = "thing " * 2000
+    texts = [f'he wrote " {far} idiot {far} " so', f"{far} idiot {far}", f'" {far} "\n{far} idiot', f'" {far} idiot', "\U0001d4f2\U0001d4ed\U0001d4f2\U0001d4f8\U0001d4fd you \U0010fffd", ""]
+    factors = {doc: f for doc, _, _, f in model.found(texts)[1]}
+    assert factors == {0: T.QUOTED, 1: 1.0, 2: 1.0, 3: 1.0, 4: T.ADDRESSED}
+
+
+def test_forgotten_states_come_back(monkeypatch):
+    monkeypatch.setattr(T, "STATES", 5)
+    a = T.Automaton(LEXICON)
+    texts = ["worthles idiott clwon scum", "lowei idoit", "worthless"]
+    whole = [T.Automaton(LEXICON).hits(T.Grid([t], plain=True)) for t in texts]
+    assert [a.hits(T.Grid([t], plain=True)) for t in texts] == whole and [a.hits(T.Grid([t], plain=True)) for t in texts] == whole
+
+
+def test_labels_that_contradict_teach_nothing(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i in range(40) for t in ((0, 1) if i % 2 else (1, 1))] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    assert {r.y for r in T.training_rows(docs, labels).collect()} == {1}
+
+
+def test_score_replaces_a_clashing_column(spark):
+    docs = spark.createDataFrame([(1, "idiot", "x"), (1, None, None)], "doc_id long, text string, tox_score string")
+    got = T.score(docs, T.Model([("idiot", False, 0, 1.0)], (-2.0, 3.0, 0.5)))
+    assert got.columns == ["doc_id", "text", "tox_score"] and sorted(r.tox_score > 0.5 for r in got.collect()) == [False, True]

@@ -30,13 +30,14 @@ from vellum.llm.wordgrid import Grid, regress
 
 #: Labelled rows a model is fitted on, at most (in expectation; they are picked by hash).
 TRAIN_ROWS = 8000
-#: Lexicon entries at most, without the words beside stems: a bound on the model, not on the corpus.
-LEXICON = 400
+#: States of the automata that a worker keeps; more are forgotten between batches, and made again when texts reach them.
+STATES = 30_000
 WINDOW_WORDS = 4
 QUOTED, REPORTED, ADDRESSED, MISSPELT = 0.3, 0.6, 1.3, 0.7
 #: Digits that stand for letters, quotation marks, words of reporting and of the second person.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 QUOTES = "\"“”„«»"
+_QUOTES = np.array([ord(q) for q in QUOTES], dtype=np.uint32)
 REPORTING = frozenset("said says called quote quoted word term wrote means".split())
 SECOND_PERSON = frozenset("you your youre u ur tu vous du ihr tú usted".split())
 
@@ -72,12 +73,16 @@ class Automaton:
             (self.stem_end if is_stem else self.end)[node] = k
         letters = sorted({c for t, _, _ in entries for c in t})
         self.letters = ["", *letters]
-        self.classes = np.zeros(65536, dtype=np.int64)
+        self.classes = np.zeros(0x110000, dtype=np.int16)
         for i, c in enumerate(letters, 1):
             self.classes[ord(c)] = i
         for digit, letter in DIGITS.items():
             if not self.classes[ord(digit)]:
                 self.classes[ord(digit)] = self.classes[ord(letter)]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Begin the table anew; states come back as texts reach them."""
         self.states: dict[frozenset, int] = {frozenset(): 0}
         self.sets: list[frozenset] = [frozenset()]
         self.accept: list[tuple[int, int] | None] = [None]
@@ -128,6 +133,8 @@ class Automaton:
 
     def hits(self, grid: Grid) -> list[tuple[int, int, int]]:
         """(word, entry, edits) of every word of the grid that matches."""
+        if len(self.sets) > STATES:
+            self._forget()
         size = grid.end - grid.begin
         alive, state, out, p = np.arange(len(size)), np.full(len(size), self.start, dtype=np.int32), [], 0
         while len(alive):
@@ -135,7 +142,7 @@ class Automaton:
             if ended.any():
                 out += [(int(w), *self.accept[s]) for w, s in zip(alive[ended], state[ended], strict=True) if self.accept[s]]
                 alive, state = alive[~ended], state[~ended]
-            letter = self.classes[np.minimum(grid.chars[grid.begin[alive] + p], 65535)]
+            letter = self.classes[grid.chars[grid.begin[alive] + p]]
             new = self.table[state, letter]
             unknown = new < 0
             if unknown.any():
@@ -173,17 +180,19 @@ class Model:
         grid = Grid(texts, plain=True)
         hits = self.automaton().hits(grid)
         out = []
+        if not hits:
+            return grid, out
         word = lambda w: "".join(map(chr, grid.chars[grid.begin[w] : grid.end[w]]))
+        quotes, feeds = np.flatnonzero(np.isin(grid.chars, _QUOTES)), np.flatnonzero(grid.chars == 10)  # texts are parted by a feed
         for w, entry, edits in sorted(hits):
-            doc = int(np.searchsorted(grid.doc_at, w, side="right")) - 1
-            text, at = texts[doc], int(grid.begin[w] - grid.text_at[doc])
-            line = text[text.rfind("\n", 0, at) + 1 : at]
-            rest = text[at : at + 400].split("\n", 1)[0]
-            factor = QUOTED if sum(line[-400:].count(q) for q in QUOTES) % 2 and any(q in rest for q in QUOTES) else 1.0
+            doc, at = int(np.searchsorted(grid.doc_at, w, side="right")) - 1, grid.begin[w]
+            line = int(np.searchsorted(feeds, at))
+            before, here, after = np.searchsorted(quotes, [feeds[line - 1] if line else 0, at, feeds[line] if line < len(feeds) else len(grid.chars)])
+            factor = QUOTED if (here - before) % 2 and after > here else 1.0
             first, last = int(grid.doc_at[doc]), int(grid.doc_at[doc + 1])
-            before = {word(k) for k in range(max(first, w - WINDOW_WORDS), w)}
-            around = before | {word(k) for k in range(w + 1, min(last, w + 1 + WINDOW_WORDS))}
-            factor *= REPORTED if before & REPORTING else 1.0
+            ahead = {word(k) for k in range(max(first, w - WINDOW_WORDS), w)}
+            around = ahead | {word(k) for k in range(w + 1, min(last, w + 1 + WINDOW_WORDS))}
+            factor *= REPORTED if ahead & REPORTING else 1.0
             factor *= ADDRESSED if around & SECOND_PERSON else 1.0
             out.append((doc, entry, edits, factor))
         return grid, out
@@ -203,25 +212,28 @@ class Model:
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """(text, y) of labelled rows that may be learned from: crc32(doc_id as text) mod 3 is not 1; about `most` by hash."""
-    own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y")).where(~held_out(F.col("doc_id")))
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
+    # labels that contradict each other teach nothing
+    own = known.groupBy("doc_id").agg(F.min("toxic").cast("int").alias("y"), F.max("toxic").cast("int").alias("_y")).where("y = _y").drop("_y")
     n = own.count()
     if n > most:
         own = own.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(own.dropDuplicates(["doc_id"]), "doc_id").select("text", "y")
+    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(own, "doc_id").select("text", "y")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn_lexicon(rows: DataFrame, most: int = LEXICON) -> list[tuple[str, bool, int, float]]:
-    """Words and stems whose presence marks toxic rows, from (row, text, y)."""
+def learn_lexicon(rows: DataFrame) -> list[tuple[str, bool, int, float]]:
+    """Words and stems whose presence marks toxic rows, from (row, text, y): every one that passes the odds test, of which a
+    bounded number of rows has a bounded number."""
     totals = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
         return []
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1))
-    tokens = rows.select("row", "y", F.explode(words).alias("token")).where("length(token) between 3 and 40")
+    tokens = rows.select("row", "y", F.explode(words).alias("token")).where("length(token) >= 3")
     # a word as it is, and its beginnings as stems
     stems = F.transform(F.sequence(F.lit(4), F.greatest(F.lit(4), F.least(F.lit(8), F.length("token") - 1))), lambda n: F.struct(F.substring("token", F.lit(1), n).alias("entry"), (F.length("token") > n).alias("stem")))
     both = F.concat(F.array(F.struct(F.col("token").alias("entry"), F.lit(False).alias("stem"))), F.filter(stems, lambda s: s["stem"]))
@@ -231,7 +243,7 @@ def learn_lexicon(rows: DataFrame, most: int = LEXICON) -> list[tuple[str, bool,
         entries.where("y = 1").groupBy("entry", "stem").agg(F.count_distinct("row").alias("toxic"), F.count_distinct("token").alias("forms"))
         .where((F.col("toxic") >= least) & (~F.col("stem") | (F.col("forms") >= 4)))
     )
-    found = cut(found, "lexicon")
+    found = cut(found, "lexicon", files=8)
     seen = entries.where("y = 0").join(found.select("entry", "stem"), ["entry", "stem"]).groupBy("entry", "stem").agg(F.count_distinct("row").alias("clean"))
     # purity by a lower bound, so that chance meetings of rare words with few toxic rows don't enter; before any limit
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
@@ -245,8 +257,8 @@ def learn_lexicon(rows: DataFrame, most: int = LEXICON) -> list[tuple[str, bool,
             kept.append(o)
     chosen = kept + [o for o in odds if not o[1] and not any(o[0].startswith(k[0]) for k in kept)]
     rank = lambda o: (-o[2] * o[4], o[0])
-    chosen = sorted(chosen, key=rank)[:most]
-    # a stem takes no edit: the words it covers stay beside it, outside the bound, for their misspellings
+    chosen.sort(key=rank)
+    # a stem takes no edit: the words it covers stay beside it, for their misspellings
     short = [o[0] for o in chosen if o[1]]
     chosen += sorted((o for o in odds if not o[1] and edits_for(o[0]) and any(o[0].startswith(s) for s in short)), key=rank)
     return [(o[0], o[1], 0 if o[1] else edits_for(o[0]), min(o[4], 8.0) / 8.0) for o in chosen]
@@ -306,7 +318,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         return apply
 
-    return map_arrow(docs, make, StructType([*docs.schema.fields, StructField("tox_score", DoubleType())]))
+    return map_arrow(docs, make, StructType([*docs.schema.fields, StructField("tox_score", DoubleType())]), text)
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
