@@ -30,25 +30,48 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 BATTERY = 16.27
 #: Share of false discoveries allowed among a text's findings.
 FALSE_SHARE = 1e-4
+#: Matches of a text that are placed together.
+BLOCK = 256
 STAY, LEAVE = math.log2(0.9), math.log2(0.1 / 3)
 
 SPAN = "struct<start:bigint,ord:int,end:bigint,kind:string,token:string>"
 
 
-def _spans(text: Column, pattern: str, kind: str, least: int, group: int = 0, gate: str | None = None) -> Column:
-    """Spans of the leftmost non-overlapping matches whose group has `least` characters or more."""
+def _in_blocks(items: Column) -> Column:
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK))))
+
+
+def _spans(text: Column, pattern: str, kind: str, least: int, group: int = 0, gate: Column | None = None) -> Column:
+    """Spans of the leftmost non-overlapping matches whose group has `least` characters or more. Positions are running sums of
+    lengths, taken over blocks first and then within each, since appending to one array costs its length every time."""
     order = KINDS.index(kind)
     none = F.array().cast(f"array<{SPAN}>")
     found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"), F.regexp_extract_all(text, F.lit(pattern), group).alias("g"), F.split(text, pattern, -1).alias("before"))
+    width = lambda x: (F.length(x["before"]) + F.coalesce(F.length(x["m"]), F.lit(0))).cast("bigint")
 
     def step(s: Column, x: Column) -> Column:
-        begin = s["at"] + F.length(x["before"])
-        end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.struct(begin.cast("bigint").alias("start"), F.lit(order).alias("ord"), end.cast("bigint").alias("end"), F.lit(kind).alias("kind"), x["g"].alias("token"))
-        return F.struct(end.cast("bigint").alias("at"), F.when(F.length(x["g"]) >= least, F.array_append(s["out"], span)).otherwise(s["out"]).alias("out"))
+        end = s["at"] + width(x)
+        span = F.struct((s["at"] + F.length(x["before"])).cast("bigint").alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), x["g"].alias("token"))
+        return F.struct(end.alias("at"), F.when(F.length(x["g"]) >= least, F.array_append(s["out"], span)).otherwise(s["out"]).alias("out"))
+
+    def placed(blocks: Column) -> Column:
+        zero = F.lit(0).cast("bigint")
+        totals = F.transform(blocks, lambda own: F.aggregate(own, zero, lambda s, x: s + width(x)))
+        starts = F.aggregate(F.slice(totals, F.lit(1), F.size(totals) - 1), F.array(zero), lambda s, n: F.array_append(s, F.element_at(s, -1) + n))
+        return F.flatten(F.zip_with(blocks, starts, lambda own, at: F.aggregate(own, F.struct(at.alias("at"), none.alias("out")), step, lambda s: s["out"])))
+
+    return F.when(text.rlike(pattern) if gate is None else gate, let(let(found, _in_blocks), placed)).otherwise(none)
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
-    return F.when(text.rlike(gate or pattern), F.aggregate(found, start, step, lambda s: s["out"])).otherwise(none)
+
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans that meet none of the others, which are looked up by blocks of them."""
+    meets = lambda x, b: (b["start"] < x["end"]) & (x["start"] < b["end"])
+
+    def free(blocks: Column) -> Column:
+        bounds = F.transform(blocks, lambda own: F.struct(F.get(own, 0)["start"].alias("start"), F.array_max(F.transform(own, lambda b: b["end"])).alias("end"), own.alias("own")))
+        return let(bounds, lambda bounds: F.filter(spans, lambda x: ~F.exists(bounds, lambda k: meets(x, k) & F.exists(k["own"], lambda b: meets(x, b)))))
+
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), let(_in_blocks(F.array_sort(others)), free)).otherwise(spans)
 
 
 def _random_bits(token: Column) -> Column:
@@ -100,14 +123,14 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
         "__vellum_base",
         F.concat(
             _spans(own, ASSIGN, "assign", 8, 1),
-            _spans(own, ACCESS, "access", 16, gate="AKIA[A-Z0-9]{12}"),
+            _spans(own, ACCESS, "access", 16, gate=own.rlike("AKIA[A-Z0-9]{12}")),
             _spans(own, r"[0-9a-f]{32,}", "hex", 32),
         ),
     )
-    likely = F.filter(
-        _spans(own, CANDIDATE, "random", 20, gate="(?=[A-Za-z+/_=-]*[0-9])" + CANDIDATE),
-        lambda x: x["token"].rlike("[0-9]") & x["token"].rlike("[A-Za-z]") & ~F.exists(F.col("__vellum_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-    )
+    ordinary = lambda token: ~(token.rlike("[0-9]") & token.rlike("[A-Za-z]"))
+    any_likely = own.rlike(CANDIDATE) & F.exists(F.regexp_extract_all(own, F.lit(CANDIDATE), 0), lambda run: ~ordinary(run))
+    out = out.withColumn("__vellum_likely", F.filter(_spans(own, CANDIDATE, "random", 20, gate=any_likely), lambda x: ~ordinary(x["token"])))
+    likely = _apart(F.col("__vellum_likely"), F.col("__vellum_base"))
     out = out.withColumn("__vellum_likely", likely)
     scored = F.when(F.size("__vellum_likely") > 0, F.transform("__vellum_likely", lambda x: F.struct((-_random_bits(x["token"])).alias("less"), x.alias("span")))).otherwise(F.array().cast(f"array<struct<less:double,span:{SPAN}>>"))
     out = out.withColumn("__vellum_scored", F.array_sort(scored))
