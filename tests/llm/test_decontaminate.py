@@ -21,7 +21,11 @@ def brute(docs, items):
         for d, text in docs:
             x = words(text)
             both = mine & {tuple(x[k : k + n]) for k in range(len(x) - n + 1)}
-            if len(both) >= 0.8 * len(mine):
+            asked = set()
+            question, answer = map(words, D.question_answer(item))
+            if answer and len(question) >= 8:
+                asked = {tuple(question[k : k + 5]) for k in range(len(question) - 4)}
+            if len(both) >= 0.8 * len(mine) or asked and asked <= both:
                 out.add((d, i, len(mine), len(both)))
     return out
 
@@ -70,3 +74,27 @@ def test_question_answer():
     assert D.question_answer("Who?\nMe.") == ("Who?", "Me.")
     assert D.question_answer("Who is it? It is me.") == ("Who is it?", "It is me.")
     assert D.question_answer(None) == ("", "")
+
+
+def test_templated_items_and_lone_questions(spark):
+    # 50 items that share 26 words and differ in 4 rare ones: any text of the shared words holds 22 of 26 shingles of each
+    shared = " ".join(f"word{k}" for k in range(26))
+    items = [(i, shared + " " + " ".join(f"rare{i}x{k}" for k in range(4))) for i in range(50)] + [(50, "why is it that the moon never falls down here?\nBecause it always falls around " + "and around " * 9)]
+    docs = [(0, "so " + shared.upper() + " then"), (1, "Why is it that the moon never falls down here"), (2, "why is it that the moon falls down"), (3, " ".join(f"word{k}" for k in range(0, 26, 2)))]
+    got = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id, x.n_shingles, x.n_shared) for x in got} == brute(docs, items) and {(x.doc_id, x.item_id) for x in got} == {(0, i) for i in range(50)} | {(1, 50)}
+
+
+def test_thresholds_are_never_above_a_verified_score():
+    r = random.Random(9)
+    for _ in range(60):
+        base = [f"w{r.randrange(40)}" for _ in range(r.randrange(6, 40))]
+        items = [(i, " ".join(w if r.random() < 0.8 else f"v{r.randrange(99)}" for w in base)) for i in range(12)]
+        index = D.Index(items)
+        texts = []
+        for _, item in items:
+            w = item.split()
+            a = r.randrange(len(w) // 4 + 1)
+            texts.append(" ".join(["x"] * 3 + w[a : len(w) - r.randrange(len(w) // 4 + 1)] + ["y"] + w[: r.randrange(len(w))]))
+        got = {(i, d, n, k) for i, d, n, k, *_ in index.leaks(texts)}
+        assert got == brute(list(enumerate(texts)), items)

@@ -1,15 +1,18 @@
-"""Benchmark decontamination: a BM25 inverted index of test items, searched with every training passage.
+"""Benchmark decontamination: a BM25 inverted index of test items, searched with every training document, then verified.
 
-Items (question and answer) are indexed; every document is cut into overlapping passages of words, long enough to hold any
-item whole, and each passage is a query. An item's BM25 score is taken relative to the score the item has for its own
-text, so one threshold serves all. Items lie in blocks; a term's greatest contribution to any item of a block is its block
-maximum, and a passage is scored against a block only where the sum of its terms' block maxima reaches the threshold
-(block-max WAND, with all passages of a batch bounded at once). What is retrieved is then verified: the share of the item's
-5-word shingles that the document holds, also for the question and the answer apart.
+Items (question and answer) are indexed; a document's distinct words are the query. An item's BM25 score is taken relative to
+the score that it has for its own text, and its threshold is the least score that any document has in which the item can be
+verified: all of the item's score but its heaviest words, as many as the shingles that may be missing can leave uncovered. So
+retrieval loses nothing, however the weight is spread over an item's words. Items lie in blocks; a word's greatest contribution
+to any item of a block is its block maximum, and only the items of those blocks are scored where the sum of the document's
+block maxima reaches the least threshold of the block (block-max WAND, all documents of a batch at once).
+
+What is retrieved is verified by 5-word shingles: a document leaks an item if it holds 0.8 of the item's distinct shingles, or
+all shingles of its question, if that has QUESTION_WORDS words or more, even without the answer.
 
 Words are runs of letters and digits in lower case, so punctuation and case don't hide a leak. The index is broadcast up to
-INDEX_CHARS characters of items; a longer benchmark is indexed and searched in slices of that size. Null or empty texts
-neither leak nor are leaked. Rows with equal doc_id are separate documents.
+INDEX_CHARS characters of items; a longer benchmark is indexed and searched in slices of that size, one after the other. Null
+or empty texts neither leak nor are leaked. Rows with equal doc_id are separate documents.
 """
 
 from __future__ import annotations
@@ -25,9 +28,11 @@ from pyspark.sql import functions as F
 from vellum.llm.shared import map_arrow, ship, texts_of
 from vellum.llm.wordgrid import Grid, mix
 
-WIDTH, OVERLAP, THRESHOLD = 5, 0.8, 0.5
+WIDTH, OVERLAP, QUESTION_WORDS = 5, 0.8, 8
 INDEX_CHARS = 20_000_000
 BLOCKS = 48
+#: Cells of the table of documents and words that is filled at once.
+CELLS = 4_000_000
 K1, B = 1.2, 0.75
 
 
@@ -50,80 +55,82 @@ def question_answer(text: str) -> tuple[str, str]:
 
 
 class Index:
-    """Items with their postings by term and block maxima. items: (item_id, text); items without words are left out."""
+    """Items by block with their words' scores and thresholds. items: (item_id, text); items without words are left out."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, overlap: float = OVERLAP, width: int = WIDTH):
-        self.threshold, self.overlap = threshold, overlap
+    def __init__(self, items: list[tuple[int, str]], overlap: float = OVERLAP, width: int = WIDTH, question_words: int = QUESTION_WORDS):
         texts = [t or "" for _, t in items]
         grid = Grid(texts, plain=True)
         hashes = grid.hashes()
         words = [hashes[a:b] for a, b in zip(grid.doc_at[:-1], grid.doc_at[1:], strict=True)]
         keep = [i for i, w in enumerate(words) if len(w)]
-        self.ids = [items[i][0] for i in keep]
-        words = [words[i] for i in keep]
+        self.ids, words = [items[i][0] for i in keep], [words[i] for i in keep]
         self.width = [min(width, len(w)) for w in words]
-        self.grams = [np.unique(grams(w, n)) for w, n in zip(words, self.width, strict=True)]
-        self.parts = []
+        placed = [grams(w, n) for w, n in zip(words, self.width, strict=True)]
+        self.grams = [np.unique(g) for g in placed]
+        self.needed = [-(-int(round(1000 * overlap)) * len(g) // 1000) for g in self.grams]
+        self.parts, self.asks = [], []
         for i, n in zip(keep, self.width, strict=True):
             own = Grid(list(question_answer(texts[i])), plain=True)
             h = own.hashes()
-            self.parts.append([np.unique(grams(h[own.doc_at[k] : own.doc_at[k + 1]], n)) for k in range(2)])
-        self.window = max([64, *(2 * len(w) for w in words)])
-        self.per_block = max(1, -(-len(words) // BLOCKS))
-        blocks = -(-len(words) // self.per_block)
+            first, second = (h[own.doc_at[k] : own.doc_at[k + 1]] for k in range(2))
+            self.parts.append([np.unique(grams(x, n)) for x in (first, second)])
+            self.asks.append(first if len(second) and len(first) >= question_words else None)
         self.terms = np.unique(np.concatenate(words)) if words else np.empty(0, dtype=np.uint64)
         size = np.array([len(w) for w in words], dtype=float)
-        posts = []
-        for d, w in enumerate(words):
-            term, count = np.unique(np.searchsorted(self.terms, w), return_counts=True)
-            posts.append(np.stack([term, np.full(len(term), d), count], axis=1))
-        posts = np.concatenate(posts) if posts else np.empty((0, 3), dtype=np.int64)
-        df = np.bincount(posts[:, 0], minlength=len(self.terms))
+        counted = [np.unique(np.searchsorted(self.terms, w), return_counts=True) for w in words]
+        df = np.bincount(np.concatenate([t for t, _ in counted]), minlength=len(self.terms)) if words else np.empty(0)
         idf = np.log1p((len(words) - df + 0.5) / (df + 0.5))
-        tf, d = posts[:, 2].astype(float), posts[:, 1]
-        score = idf[posts[:, 0]] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[d] / size.mean())) if len(posts) else tf
-        own = np.bincount(d, weights=score, minlength=len(words))
-        score = score / own[d] if len(posts) else score
-        order = np.lexsort((d, posts[:, 0]))
-        self.item, self.score = d[order], score[order]
-        self.post_at = np.concatenate(([0], np.cumsum(df)))
+        self.own_terms, self.own_scores, least = [], [], []
+        for d, (term, count) in enumerate(counted):
+            score = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * size[d] / size.mean()))
+            score = score / score.sum()
+            # at most so many words lie in no shingle that is held: as many as the places of the shingles that may be missing
+            _, times = np.unique(placed[d], return_counts=True)
+            missing = int(np.sort(times)[::-1][: len(times) - self.needed[d]].sum())
+            kept = 1 - np.sort(score)[::-1][:missing].sum()
+            if self.asks[d] is not None:
+                kept = min(kept, score[np.isin(term, np.searchsorted(self.terms, self.asks[d]))].sum())
+            self.own_terms.append(term)
+            self.own_scores.append(score.astype(np.float32))
+            least.append(kept - 1e-4)
+        self.least = np.array(least)
+        self.per_block = max(1, -(-len(words) // BLOCKS))
+        blocks = -(-len(words) // self.per_block)
         self.most = np.zeros((len(self.terms), blocks), dtype=np.float32)
-        np.maximum.at(self.most, (posts[:, 0], d // self.per_block), score.astype(np.float32) * np.float32(1.00001))
+        for d, (term, score) in enumerate(zip(self.own_terms, self.own_scores, strict=True)):
+            self.most[term, d // self.per_block] = np.maximum(self.most[term, d // self.per_block], score)
+        self.block_least = np.array([self.least[k * self.per_block : (k + 1) * self.per_block].min() for k in range(blocks)])
         self.known = np.zeros(1 << 20, dtype=bool)
         self.known[(self.terms >> np.uint64(44)).astype(np.int64)] = True
 
-    def retrieve(self, hashes: np.ndarray, doc_at: np.ndarray) -> dict[int, set[int]]:
-        """Items whose score for a passage reaches the threshold, by document."""
-        out: dict[int, set[int]] = {}
+    def retrieve(self, hashes: np.ndarray, doc_at: np.ndarray) -> dict[int, list[int]]:
+        """Items whose score reaches their threshold, by document."""
+        out: dict[int, list[int]] = {}
         if not len(self.terms) or not len(hashes):
             return out
         at = np.flatnonzero(self.known[(hashes >> np.uint64(44)).astype(np.int64)])
         term = np.minimum(np.searchsorted(self.terms, hashes[at]), len(self.terms) - 1)
         hit = self.terms[term] == hashes[at]
         at, term = at[hit], term[hit]
-        step = self.window // 2
-        n = np.diff(doc_at)
-        windows = np.maximum(1, -(-(n - step) // step)) * (n > 0)
-        doc = np.repeat(np.arange(len(n)), windows)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
-        begin = doc_at[:-1][doc] + nth * step
-        end = np.minimum(begin + self.window, doc_at[1:][doc])
-        first, last = np.searchsorted(at, begin), np.searchsorted(at, end)
-        bound = np.zeros((len(at) + 1, self.most.shape[1]), dtype=np.float64)
-        np.cumsum(self.most[term], axis=0, out=bound[1:])
-        passage, block = np.nonzero(bound[last] - bound[first] >= self.threshold)
-        for p in np.unique(passage):
-            blocks = block[passage == p]
-            own = np.unique(term[first[p] : last[p]])
-            blocks = blocks[self.most[np.ix_(own, blocks)].sum(axis=0) >= self.threshold]
-            if not len(blocks):
+        doc = np.searchsorted(doc_at, at, side="right") - 1
+        step = max(1, CELLS // len(self.terms))
+        for begin in range(0, len(doc_at) - 1, step):
+            a, b = np.searchsorted(doc, [begin, begin + step])
+            if a == b:
                 continue
-            places = np.concatenate([np.arange(self.post_at[t], self.post_at[t + 1]) for t in own])
-            places = places[np.isin(self.item[places] // self.per_block, blocks)]
-            total = np.bincount(self.item[places], weights=self.score[places])
-            found = np.flatnonzero(total >= self.threshold)
-            if len(found):
-                out.setdefault(int(doc[p]), set()).update(found.tolist())
+            held = np.zeros((min(step, len(doc_at) - 1 - begin), len(self.terms)), dtype=bool)
+            held[doc[a:b] - begin, term[a:b]] = True
+            row, column = np.nonzero(held)
+            rows, first = np.unique(row, return_index=True)
+            likely = np.add.reduceat(self.most[column], first, axis=0) >= self.block_least
+            for k in np.flatnonzero(likely.any(axis=0)):
+                own = rows[likely[:, k]]
+                items = range(k * self.per_block, min((k + 1) * self.per_block, len(self.ids)))
+                terms = np.concatenate([self.own_terms[d] for d in items])
+                ends = np.cumsum([0] + [len(self.own_terms[d]) for d in items])[:-1]
+                total = np.add.reduceat(held[np.ix_(own, terms)] * np.concatenate([self.own_scores[d] for d in items]), ends, axis=1)
+                for r, d in zip(*np.nonzero(total >= self.least[items.start : items.stop]), strict=True):
+                    out.setdefault(int(own[r]) + begin, []).append(items.start + int(d))
         return out
 
     def leaks(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, float, float]]:
@@ -132,16 +139,25 @@ class Index:
         hashes = grid.hashes()
         for i, items in sorted(self.retrieve(hashes, grid.doc_at).items()):
             words = hashes[grid.doc_at[i] : grid.doc_at[i + 1]]
-            by_width = {}
-            for d in sorted(items):
+            by_width: dict[int, np.ndarray] = {}
+            for d in items:
                 n = self.width[d]
-                held = by_width.setdefault(n, grams(words, n))
-                shared = int(np.isin(self.grams[d], held).sum())
-                if shared >= self.overlap * len(self.grams[d]):
-                    parts = [float(np.isin(g, held).mean()) if len(g) else float("nan") for g in self.parts[d]]
+                if n not in by_width:
+                    by_width[n] = np.unique(grams(words, n))
+                shared = int(_inside(self.grams[d], by_width[n]).sum())
+                asked = self.asks[d] is not None and shared >= len(self.parts[d][0]) and bool(_inside(self.parts[d][0], by_width[n]).all())
+                if shared >= self.needed[d] or asked:
+                    parts = [float(_inside(g, by_width[n]).mean()) if len(g) else float("nan") for g in self.parts[d]]
                     yield i, self.ids[d], len(self.grams[d]), shared, *parts
 
 
+def _inside(some: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of some values are among ordered ones."""
+    if not len(ordered):
+        return np.zeros(len(some), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, some), len(ordered) - 1)] == some
+
+
 def indexes(benchmark: DataFrame, **settings) -> list[Index]:
     """One index, or one for each slice of a benchmark longer than INDEX_CHARS. benchmark: item_id, text."""
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0

@@ -118,16 +118,21 @@ FROM n LEFT JOIN nodes ON nodes.node = n.node AND n.n > 0 LEFT JOIN comp ON comp
 """
 
 
-#: Exact: every item against every document by shared runs of min(5, words of the item) words, 0.8 or more of them.
+#: Exact: every item against every document by shared runs of min(5, words of the item) words: 0.8 or more of them, or all of
+#: those of a question of 8 words or more, which is what stands before the last line, or else before the last sentence.
 OP9 = r"""
-WITH bw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark),
-b AS (SELECT item_id, least(5, len(ws)) AS n, list_distinct(list_transform(range(1, len(ws) - least(5, len(ws)) + 2), lambda i: array_to_string(ws[i:i + least(5, len(ws)) - 1], ' '))) AS sh FROM bw WHERE len(ws) > 0),
-bs AS (SELECT item_id, n, len(sh) AS n_shingles, unnest(sh) AS g FROM b),
+WITH bt AS (SELECT row_number() OVER () AS bid, item_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM benchmark),
+bq AS (SELECT bid, item_id, t, CASE WHEN regexp_full_match(t, '(?s)(.*\S)\s*\n(.*)') THEN regexp_extract(t, '(?s)^(.*\S)\s*\n(.*)$', 1)
+  WHEN regexp_full_match(t, '(?s)(.*[.?!])\s+(.*)') THEN regexp_extract(t, '(?s)^(.*[.?!])\s+(.*)$', 1) END AS q FROM bt),
+bw AS (SELECT bid, item_id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS ws, regexp_extract_all(lower(coalesce(q, '')), '[\p{L}\p{N}]+') AS qs, regexp_extract_all(lower(CASE WHEN q IS NULL THEN '' ELSE substr(t, length(q) + 1) END), '[\p{L}\p{N}]+') AS ans FROM bq),
+b AS (SELECT bid, item_id, least(5, len(ws)) AS n, list_distinct(list_transform(range(1, len(ws) - least(5, len(ws)) + 2), lambda i: array_to_string(ws[i:i + least(5, len(ws)) - 1], ' '))) AS sh,
+  CASE WHEN len(qs) >= 8 AND len(ans) > 0 THEN list_distinct(list_transform(range(1, len(qs) - 3), lambda i: array_to_string(qs[i:i + 4], ' '))) END AS qsh FROM bw WHERE len(ws) > 0),
+bs AS (SELECT bid, item_id, n, len(sh) AS n_shingles, len(qsh) AS n_asked, unnest(sh) AS g, qsh FROM b),
 dw AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
 dn AS (SELECT rid, doc_id, ws, n FROM dw, (SELECT DISTINCT n FROM bs)),
 ds AS (SELECT DISTINCT rid, doc_id, n, unnest(list_transform(range(1, greatest(len(ws) - n + 2, 1)), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS g FROM dn)
 SELECT ds.doc_id, bs.item_id, bs.n_shingles, count(*) AS n_shared FROM ds JOIN bs ON bs.g = ds.g AND bs.n = ds.n
-GROUP BY ds.rid, ds.doc_id, bs.item_id, bs.n_shingles HAVING count(*) >= 0.8 * bs.n_shingles
+GROUP BY ds.rid, ds.doc_id, bs.bid, bs.item_id, bs.n_shingles, bs.n_asked HAVING count(*) >= 0.8 * bs.n_shingles OR count(*) FILTER (list_contains(bs.qsh, ds.g)) = bs.n_asked
 """
 
 
