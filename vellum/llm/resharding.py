@@ -1,8 +1,8 @@
 """Minimum-cost-flow resharding: from a layout of rows in old shards to new shards of near-equal bytes, moving least.
 
-Rows carry an old shard. Each old shard is a set of blocks, by a hash of the text, so equal texts share a block and move
-together; a block heavier than a share of a new shard (one very common text) is split by row. Block sizes, a bounded
-number whatever the input, come to the driver. There, a minimum-cost flow from old shards (their bytes) to new shards (their
+Rows carry an old shard. Each old shard is a set of blocks, by a hash of the text, and a block a set of parts, by row. Equal texts
+share a block; blocks are poured into new shards part by part, so equal texts stay together but where a shard is full. The
+sizes of parts, a bounded number whatever the input, come to the driver. There, a minimum-cost flow from old shards (their bytes) to new shards (their
 capacities), with cost 0 for staying and 1 a byte for moving, says how many bytes each old shard gives to each new one;
 blocks are picked to make up those amounts. The assignment joins back through a broadcast table of blocks.
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from vellum.llm.shared import cut
 
-#: Blocks of an old shard; parts of a block that is heavier than 1 / HEAVY of a new shard.
-BLOCKS, PARTS, HEAVY = 512, 64, 32
+#: Blocks of an old shard, and parts of a block.
+BLOCKS, PARTS = 256, 32
 
 
 class Flow:
@@ -81,22 +81,39 @@ def transfers(sizes: dict[int, int], capacities: dict[int, int]) -> dict[tuple[i
     return {k: graph.arcs[i + 1 if i % 2 == 0 else i][1] for k, i in arcs.items() if graph.arcs[i ^ 1][1]}
 
 
+def capacities_of(total: int, shards: int) -> dict[int, int]:
+    return {n: total // shards + (n < total % shards) for n in range(shards)}
+
+
+def least_moved(blocks: dict[tuple, int], shards: int) -> int:
+    """Bytes that any layout of even shards moves at least."""
+    sizes: dict[int, int] = defaultdict(int)
+    for key, size in blocks.items():
+        sizes[key[0]] += size
+    return sum(n for (o, s), n in transfers(sizes, capacities_of(sum(sizes.values()), shards)).items() if o != s)
+
+
 def assign(blocks: dict[tuple, int], shards: int) -> dict[tuple, int]:
-    """New shard of each block; blocks: (old shard, ...) -> bytes."""
+    """New shard of each part; blocks: (old shard, block, part) -> bytes."""
     total = sum(blocks.values())
-    capacities = {n: total // shards + (n < total % shards) for n in range(shards)}
+    room = capacities_of(total, shards)
     sizes: dict[int, int] = defaultdict(int)
+    whole: dict[tuple, list] = defaultdict(list)
     for key, size in blocks.items():
         sizes[key[0]] += size
-    owed = dict(transfers(sizes, capacities))
-    room = dict(capacities)
+        whole[key[:2]].append((size, key))
+    owed = dict(transfers(sizes, room))
     out: dict[tuple, int] = {}
-    # largest first, to the new shard that this old one owes most; what overshoots evens out with the small ones
-    for key, size in sorted(blocks.items(), key=lambda kv: (-kv[1], kv[0])):
-        to = max(room, key=lambda n: (owed.get((key[0], n), 0) >= size, min(owed.get((key[0], n), 0), room[n]), n == key[0], room[n], -n))
-        out[key] = to
-        owed[(key[0], to)] = owed.get((key[0], to), 0) - size
-        room[to] -= size
+    # the largest block first, to the new shard that this old one owes most; where its room ends the block flows on into another
+    for block, parts in sorted(whole.items(), key=lambda kv: (-sum(s for s, _ in kv[1]), kv[0])):
+        left, to = sum(s for s, _ in parts), None
+        for size, key in sorted(parts, key=lambda x: (-x[0], x[1])):
+            if to is None or room[to] < size or owed.get((block[0], to), 0) < size:
+                to = max(room, key=lambda n: (owed.get((block[0], n), 0) >= left, min(owed.get((block[0], n), 0), room[n]), n == block[0], room[n], -n))  # noqa: B023
+            out[key] = to
+            owed[(block[0], to)] = owed.get((block[0], to), 0) - size
+            room[to] -= size
+            left -= size
     # single blocks from the fullest shard to the emptiest while that evens them
     held = defaultdict(list)
     for key, to in out.items():
@@ -126,14 +143,9 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, text: str = "te
         F.crc32(data).alias("text_crc32"),
         old_shard.cast("int").alias("old_shard"),
         F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(5)), F.lit(BLOCKS)).cast("int").alias("block"),
-        F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(PARTS)).cast("int").alias("part"),
+        F.monotonically_increasing_id().alias("row"),  # tells repeated rows apart; fixed by the table written next
     )
-    rows = cut(rows, "sizes")
-    whole = {(r.old_shard, r.block): r.size for r in rows.groupBy("old_shard", "block").agg(F.sum("size").alias("size")).collect()}
-    limit = sum(whole.values()) // (shards * HEAVY)
-    heavy = {k for k, size in whole.items() if size > limit}
-    flags = spark.createDataFrame([(o, b, (o, b) in heavy) for o, b in whole], "old_shard int, block int, heavy boolean")
-    rows = rows.join(F.broadcast(flags), ["old_shard", "block"]).withColumn("part", F.when(F.col("heavy"), F.col("part")).otherwise(-1)).drop("heavy")
+    rows = cut(rows, "sizes").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int"))
     cells = {(r.old_shard, r.block, r.part): (r.size, r.n) for r in rows.groupBy("old_shard", "block", "part").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
     placed = assign({k: v[0] for k, v in cells.items()}, shards)
     first: dict[int, int] = defaultdict(int)
@@ -143,11 +155,17 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, text: str = "te
         first[placed[key]] += cells[key][1]
     # at most old shards * BLOCKS * PARTS rows, whatever the input
     plan = spark.createDataFrame(plan, "old_shard int, block int, part int, shard int, first long")
-    own = Window.partitionBy("old_shard", "block", "part").orderBy("doc_id", "text_crc32")
+    own = Window.partitionBy("old_shard", "block", "part").orderBy("doc_id", "text_crc32", "row")
     numbered = rows.withColumn("nth", F.row_number().over(own)).join(F.broadcast(plan), ["old_shard", "block", "part"])
     return numbered.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("nth") - 1).cast("long").alias("slot"))
 
 
+def moved(assignment: DataFrame, shards: int = 8) -> dict[str, int]:
+    """Of reshard()'s result: all bytes, those whose shard changes, and the fewest that any even layout changes."""
+    rows = assignment.groupBy("old_shard").agg(F.sum("size").alias("size"), F.sum(F.when(F.col("shard") != F.col("old_shard"), F.col("size")).otherwise(0)).alias("moved")).collect()
+    return {"bytes": sum(r.size for r in rows), "moved": sum(r.moved for r in rows), "least": least_moved({(r.old_shard,): r.size for r in rows}, shards)}
+
+
 def rewrite(docs: DataFrame, assignment: DataFrame, path: str, text: str = "text") -> None:
     """Write the files of the shards that change, each whole, in place of the folders of these shards under path; others stay.
     assignment is reshard()'s result of docs; shard and slot replace columns of docs so called.
