@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import cut
+from vellum.llm.shared import cut, discard
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -29,16 +29,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return found.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(found.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+#: Edges of a file of the tables between rounds.
+FILE_EDGES = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: (a, b) of any one orderable type, null-free. Returns (node, label) for every node that has an edge; label is
     the least node of its component and appears as a node too. An empty table gives an empty one."""
+    count = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     edges = cut(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    mark = None
+    mark = count(edges)
     while True:
-        edges = cut(_small_star(_large_star(edges)), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
+        # edges only become fewer, so their number bounds the files that the next round needs
+        new = cut(_small_star(_large_star(edges)), "edges", files=8 + mark[0] // FILE_EDGES)
+        now = count(new)
+        discard(edges)
+        edges = new
+        if now == mark:
             break
-        mark = tuple(now)
+        mark = now
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.components import components
@@ -32,6 +32,8 @@ from vellum.llm.wordgrid import Grid, shingles, stream
 COORDINATES, MATCHES, PERCENT = 64, 36, 80
 #: Postings lists and candidate clusters above these numbers of nodes are searched in pairs of blocks of that size.
 LIST_BLOCK, CLUSTER_BLOCK = 4096, 1536
+#: Bytes of text of such a block of a cluster.
+BLOCK_BYTES = 16_000_000
 
 
 def node_of(found: np.ndarray) -> bytes:
@@ -52,14 +54,15 @@ def signature(found: np.ndarray, coordinates: int) -> np.ndarray:
 def _signatures(words: int, coordinates: int):
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            grid = Grid(texts_of(batch), lower=True)
+            texts = texts_of(batch)
+            grid = Grid(texts, lower=True)
             hashes, sizes, nodes, marks = grid.hashes(), [], [], []
             for a, b in zip(grid.doc_at[:-1], grid.doc_at[1:], strict=True):
                 found = shingles(hashes[a:b], words)
                 sizes.append(len(found))
                 nodes.append(node_of(found) if len(found) else None)
                 marks.append(signature(found, coordinates).tobytes() if len(found) else None)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(marks, pa.binary())], ["doc_id", "row_key", "n_shingles", "node", "signature"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(marks, pa.binary()), pa.array([len(t) for t in texts], pa.int64())], ["doc_id", "row_key", "n_shingles", "node", "signature", "bytes"])
 
         return apply
 
@@ -184,9 +187,9 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def _in_blocks(df: DataFrame, size: str, block: int, by: str) -> DataFrame:
-    """Adds i, j: groups of up to `block` stay whole (0, 0); a row of a larger one goes to every pair of blocks with its own."""
-    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
+def _in_blocks(df: DataFrame, blocks: Column, by: str) -> DataFrame:
+    """Adds i, j: a group of one block stays whole (0, 0); a row of a larger one goes to every pair of blocks with its own."""
+    n = blocks.cast("int")
     own = F.pmod(F.xxhash64(F.col(by), F.lit(17)), n).cast("int")
     pairs = F.when(n <= 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
@@ -205,20 +208,21 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = PERCENT, coo
     ship(spark)
     source = docs.select("doc_id", "text")
     base = cut(
-        map_arrow(keyed(source), _signatures(words, coordinates), "doc_id long, row_key long, n_shingles long, node binary, signature binary"),
+        map_arrow(keyed(source), _signatures(words, coordinates), "doc_id long, row_key long, n_shingles long, node binary, signature binary, bytes long"),
         "signatures",
     )
     # one row a distinct set; sets under this size are linked only with equal ones
     least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))
     nodes = cut(
-        base.where(F.col("n_shingles") >= least).groupBy("node").agg(F.min(F.struct("row_key", "signature")).alias("x"))
-        .select("node", F.col("x.row_key").alias("row_key"), F.col("x.signature").alias("signature"), F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long").alias("nid")),
+        base.where(F.col("n_shingles") >= least).groupBy("node").agg(F.min(F.struct("row_key", "signature", "bytes")).alias("x"))
+        .select("node", F.col("x.row_key").alias("row_key"), F.col("x.signature").alias("signature"), F.col("x.bytes").alias("bytes"), F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long").alias("nid")),
         "nodes",
     )
     coordinate = F.sequence(F.lit(0), F.lit(coordinates - 1))
     value = lambda c: F.conv(F.hex(F.substring("signature", 4 * c + 1, 4)), 16, 10).cast("long")
     posts = nodes.select("nid", F.explode(F.transform(coordinate, lambda c: F.shiftleft(c.cast("long"), 32) + value(c))).alias("cv"))
-    shared = posts.withColumn("freq", F.count(F.lit(1)).over(Window.partitionBy("cv"))).where("freq > 1")
+    # counted by partial sums and joined back, so that a value of very many nodes is summed where it is met and can be split
+    shared = posts.join(posts.groupBy("cv").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"), "cv")
     own = Window.partitionBy("nid")
     prefix = (
         shared.withColumns({"rank": F.row_number().over(own.orderBy("freq", "cv")), "n": F.count(F.lit(1)).over(own)})
@@ -226,14 +230,16 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = PERCENT, coo
         .select("nid", "cv", "freq")
     )
     marks = nodes.select("nid", F.unhex(F.array_join(F.transform(coordinate, lambda c: F.hex(F.substring("signature", 4 * c + 1, 1))), "")).alias("mark"))
-    lists = _in_blocks(prefix.join(marks, "nid"), "freq", LIST_BLOCK, "nid").select("cv", "i", "j", "nid", "mark")
+    lists = _in_blocks(prefix.join(marks, "nid"), F.ceil(F.col("freq") / F.lit(LIST_BLOCK)), "nid").select("cv", "i", "j", "nid", "mark")
     lists = lists.repartition("cv", "i", "j").sortWithinPartitions("cv", "i", "j", "nid")
     candidates = components(lists.mapInArrow(_merge_lists(matches, coordinates), "a long, b long"))
 
-    sized = candidates.join(candidates.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label").select(F.col("node").alias("nid"), F.col("label").alias("cluster"), "size")
-    members = sized.join(nodes.select("nid", "node", "row_key"), "nid").select("row_key", "node", "cluster", "size")
-    with_text = members.join(keyed(source).select("row_key", "text"), "row_key")
-    blocks = _in_blocks(with_text, "size", CLUSTER_BLOCK, "node").select("cluster", "i", "j", "node", "text")
+    # of rows that agree in id and text one is read again (two hashes tell them from others), before any join
+    texts = keyed(source).withColumn("own", F.xxhash64("text", F.lit(3))).groupBy("row_key", "own").agg(F.first("text").alias("text")).drop("own")
+    labelled = candidates.select(F.col("node").alias("nid"), F.col("label").alias("cluster")).join(nodes.select("nid", "node", "row_key", "bytes"), "nid")
+    sizes = labelled.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(CLUSTER_BLOCK)), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES))).alias("blocks"))
+    with_text = labelled.join(sizes, "cluster").select("row_key", "node", "cluster", "blocks").join(texts, "row_key")
+    blocks = _in_blocks(with_text, F.col("blocks"), "node").select("cluster", "i", "j", "node", "text")
     blocks = blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
     labels = components(blocks.mapInArrow(_confirm(words, percent), "a binary, b binary"))
 
