@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellum.functions.charset import ARABIC_DIGITS, EXTENDED_DIGITS
+from vellum.functions.charset import ARABIC_DIGITS, EXTENDED_DIGITS, by_character, unmarked
 
 # Classes of characters.
 ARABIC_LETTERS = "ء-غف-يٮ-ۓ"
@@ -44,12 +43,19 @@ def latin_ratio(text: Column) -> Column:
     return _share(text, "[^A-Za-z]")
 
 
-def _normal_form(text: Column, form: str) -> Column:
-    @F.pandas_udf("string")
-    def of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else unicodedata.normalize(form, t))
+#: Letters that a mark after them makes another letter; marks of another class may stand between, of the same one not.
+_COMPOSED = {"آ": "آ", "أ": "أ", "ؤ": "ؤ", "إ": "إ", "ئ": "ئ", "ۀ": "ۀ", "ۂ": "ۂ", "ۓ": "ۓ"}
 
-    return F.when(text.rlike(r"[^\x00-\x7f]"), of(text)).otherwise(text)
+
+def _composed(text: Column) -> Column:
+    """The Arabic letters of text with the marks that belong to them."""
+    marks = [c for c in map(chr, (*range(0x300, 0x370), *range(0x600, 0x700), *range(0x8D0, 0x900))) if unicodedata.combining(c)]
+    out = text
+    for two, one in _COMPOSED.items():
+        letter, mark = unicodedata.normalize("NFD", two)
+        between = "".join(c for c in marks if unicodedata.combining(c) != unicodedata.combining(mark))
+        out = F.regexp_replace(out, f"{letter}([{between}]*){mark}", f"{one}$1")
+    return F.when(text.rlike("[\u0653-\u0655]"), out).otherwise(text)
 
 
 def _long_enough(text: Column) -> Column:
@@ -58,7 +64,7 @@ def _long_enough(text: Column) -> Column:
 
 def normalise_arabic_name(text: Column) -> Column:
     """Without marks, punctuation and other scripts; the forms of letters stay. Null if nothing Arabic is left."""
-    out = F.regexp_replace(strip_control(_normal_form(text, "NFC")), f"[{ARABIC_MARKS}]", "")
+    out = F.regexp_replace(strip_control(_composed(text)), f"[{ARABIC_MARKS}]", "")
     out = collapse_ws(F.regexp_replace(out, f"[^{ARABIC_LETTERS}\\s]", " "))
     return _long_enough(F.when(has_arabic(out), out))
 
@@ -69,7 +75,7 @@ def fold_arabic(text: Column) -> Column:
 
 
 def normalise_latin_name(text: Column) -> Column:
-    out = F.regexp_replace(_normal_form(text, "NFKD"), r"\p{M}", "")
+    out = by_character(text, unmarked)
     return _long_enough(collapse_ws(F.regexp_replace(F.replace(F.upper(out), F.lit("<"), F.lit(" ")), "[^A-Za-z' -]", " ")))
 
 

@@ -10,8 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def limiter_key(api_key: Column, address: Column) -> Column:
-    return F.when(F.coalesce(api_key, F.lit("")) != "", F.substring(F.sha2(api_key, 256), 1, 16)).otherwise(F.concat(F.lit("ip:"), address))
+def limiter_key(api_key: Column, address: Column, forwarded: Column | None = None, trusted: Column | bool = False) -> Column:
+    """What hits are counted by: a hash of the key, or else the address, which is the first forwarded one behind a trusted
+    proxy only."""
+    given = F.coalesce(forwarded if forwarded is not None else F.lit(""), F.lit(""))
+    behind = trusted if isinstance(trusted, Column) else F.lit(trusted)
+    own = F.coalesce(F.when(behind & (given != ""), F.trim(F.substring_index(given, ",", 1))), address, F.lit("unknown"))
+    return F.when(F.coalesce(api_key, F.lit("")) != "", F.substring(F.sha2(api_key, 256), 1, 16)).otherwise(F.concat(F.lit("ip:"), own))
 
 
 def fixed_window(hits: DataFrame, limit: int, window_s: int) -> DataFrame:

@@ -23,11 +23,6 @@ def block_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", "block_no", *BOX, "width", "height", "cx", "cy", "area", "angle", moved["x"].alias("moved_x"), moved["y"].alias("moved_y"))
 
 
-def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = L.group_lines(derive.blocks(spark, sf_dir), "doc_id")
-    return found.select("doc_id", "reading_order", "text", F.round("confidence", 6).alias("confidence"), "min_confidence", *BOX, F.array_join("languages", ",").alias("languages"))
-
-
 def layout_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of boxes that count as lines, from the top of the page."""
     from pyspark.sql import Window
@@ -43,10 +38,6 @@ def layout_page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", *(F.round(c, 6).alias(c) for c in ("mean", "least", "most", "readability")), "words", "low_confidence")
 
 
-def block_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.suppress(derive.blocks(spark, sf_dir), "doc_id", threshold=0.3).select("doc_id", "rank", "block_no", "confidence")
-
-
 def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = L.geometry(derive.blocks(spark, sf_dir)).select("doc_id", "block_no", *BOX)
     a, b = g.alias("a"), g.alias("b")
@@ -98,7 +89,7 @@ def ratelimit_fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratelimit_sliding_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.sliding_log(_hits(spark, sf_dir), 3, 86_400).select("key", "event_id", "allowed")
+    return R.sliding_log(_hits(spark, sf_dir), 3, 86_400).select("key", "event_id", "allowed", "retry_after")
 
 
 def redact_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,31 +140,31 @@ def recognised_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.geometry(both).select("doc_id", "block_no", "text", "confidence", *BOX)
 
 
-QUERIES = (block_geometry, layout_lines, layout_regions, layout_page_summary, block_nms, iou_pairs, boxes_scan_zone, labelled_fields, labels_without_value, ratelimit_fixed_window, ratelimit_sliding_log, redact_messages, text_normalise, free_dates, engine_stats, upload_validation, recognised_boxes)
+QUERIES = (block_geometry, layout_regions, layout_page_summary, iou_pairs, boxes_scan_zone, labelled_fields, labels_without_value, ratelimit_fixed_window, ratelimit_sliding_log, redact_messages, text_normalise, free_dates, engine_stats, upload_validation, recognised_boxes)
 
-_B = """WITH b AS (
+BOXES_SQL = """WITH b AS (
   SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS block_no, p_name AS text, least(round(0.5 + l_discount * 4, 4), 1.0) AS confidence,
     CAST((l_partkey % 20) * 40 AS DOUBLE) AS x0, CAST((l_suppkey % 12) * 18 AS DOUBLE) AS y0, (l_partkey % 20) * 40 + 60 + l_quantity AS x1, CAST((l_suppkey % 12) * 18 + 16 + l_linenumber AS DOUBLE) AS y1
   FROM lineitem JOIN part ON l_partkey = p_partkey
 )"""
-_IOU = "(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0))"
+IOU_SQL = "(greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0))"
 
 ORACLES = {
-    "block_geometry": f"{_B} SELECT doc_id, block_no, x0, y0, x1, y1, x1 - x0 AS width, y1 - y0 AS height, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, (x1 - x0) * (y1 - y0) AS area, 0.0 AS angle, x1 / 2 + 1 AS moved_x, y1 / 2 + 3 AS moved_y FROM b",
-    "layout_regions": f"""{_B}, o AS (SELECT *, row_number() OVER w AS ro, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1 FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY y0, x0, block_no)),
+    "block_geometry": f"{BOXES_SQL} SELECT doc_id, block_no, x0, y0, x1, y1, x1 - x0 AS width, y1 - y0 AS height, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, (x1 - x0) * (y1 - y0) AS area, 0.0 AS angle, x1 / 2 + 1 AS moved_x, y1 / 2 + 3 AS moved_y FROM b",
+    "layout_regions": f"""{BOXES_SQL}, o AS (SELECT *, row_number() OVER w AS ro, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1 FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY y0, x0, block_no)),
 n AS (SELECT *, CASE WHEN y0 - py1 <= 1.2 * greatest(py1 - py0, y1 - y0, 1) AND least(x1, px1) > greatest(x0, px0) THEN 0 ELSE 1 END AS new FROM o),
 r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ro) - 1 AS region_no FROM n)
 SELECT doc_id, CAST(region_no AS INTEGER) AS region_no, md5(string_agg(text, chr(10) ORDER BY ro)) AS text_md5, round(avg(confidence), 6) AS confidence, count(*) AS line_count, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM r GROUP BY doc_id, region_no""",
-    "layout_page_summary": f"{_B} SELECT doc_id, round(avg(confidence), 6) AS mean, round(min(confidence), 6) AS least, round(max(confidence), 6) AS most, round(sum(length(trim(text)) * confidence), 6) AS readability, CAST(sum(len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> ''))) AS BIGINT) AS words, avg(confidence) < 0.55 AND avg(confidence) <> 0 AS low_confidence FROM b GROUP BY doc_id",
-    "iou_pairs": f"{_B}, p AS (SELECT a.doc_id, a.block_no AS first, b.block_no AS second, {_IOU} AS common, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS sizes FROM b a JOIN b ON a.doc_id = b.doc_id AND a.block_no < b.block_no) SELECT doc_id, first, second, round(common / (sizes - common), 9) AS iou FROM p WHERE common > 0",
+    "layout_page_summary": f"{BOXES_SQL} SELECT doc_id, round(avg(confidence), 6) AS mean, round(min(confidence), 6) AS least, round(max(confidence), 6) AS most, round(sum(length(trim(text)) * confidence), 6) AS readability, CAST(sum(len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> ''))) AS BIGINT) AS words, avg(confidence) < 0.55 AND avg(confidence) <> 0 AS low_confidence FROM b GROUP BY doc_id",
+    "iou_pairs": f"{BOXES_SQL}, p AS (SELECT a.doc_id, a.block_no AS first, b.block_no AS second, {IOU_SQL} AS common, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS sizes FROM b a JOIN b ON a.doc_id = b.doc_id AND a.block_no < b.block_no) SELECT doc_id, first, second, round(common / (sizes - common), 9) AS iou FROM p WHERE common > 0",
     "boxes_scan_zone": f"{sql.TD3} SELECT o_orderkey, 'TD3' AS mrz_type, document_number, surname, structure_valid, check_digits_valid, 0.9 AS ocr_confidence FROM d",
     "labelled_fields": "SELECT o_orderkey, 'issuing_authority' AS field, c_mktsegment AS value, 0.9 AS confidence, CASE WHEN o_orderkey % 4 = 2 THEN 'merged' ELSE 'adjacent' END AS source FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 4 < 3",
     "labels_without_value": "SELECT o_orderkey, 'issuing_authority' AS field FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 4 = 3",
     "ratelimit_fixed_window": "SELECT user_id AS key, event_id, row_number() OVER w <= 3 AS allowed, CASE WHEN row_number() OVER w <= 3 THEN 0 ELSE 86400 END AS retry_after FROM events WINDOW w AS (PARTITION BY user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) ORDER BY ts, event_id)",
     "ratelimit_sliding_log": """WITH RECURSIVE h AS (SELECT user_id AS key, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-s AS (SELECT key, event_id, n, true AS allowed, [t] AS log FROM h WHERE n = 1
-  UNION ALL SELECT h.key, h.event_id, h.n, len(list_filter(s.log, lambda x: x >= h.t - 86400)) < 3, CASE WHEN len(list_filter(s.log, lambda x: x >= h.t - 86400)) < 3 THEN list_append(list_filter(s.log, lambda x: x >= h.t - 86400), h.t) ELSE list_filter(s.log, lambda x: x >= h.t - 86400) END
-  FROM s JOIN h ON h.key = s.key AND h.n = s.n + 1) SELECT key, event_id, allowed FROM s""",
+s AS (SELECT key, event_id, n, true AS allowed, [t] AS log, t FROM h WHERE n = 1
+  UNION ALL SELECT h.key, h.event_id, h.n, len(list_filter(s.log, lambda x: x >= h.t - 86400)) < 3, CASE WHEN len(list_filter(s.log, lambda x: x >= h.t - 86400)) < 3 THEN list_append(list_filter(s.log, lambda x: x >= h.t - 86400), h.t) ELSE list_filter(s.log, lambda x: x >= h.t - 86400) END, h.t
+  FROM s JOIN h ON h.key = s.key AND h.n = s.n + 1) SELECT key, event_id, allowed, CASE WHEN allowed THEN 0 ELSE greatest(1, CAST(trunc(86400 - (t - log[1])) AS INTEGER) + 1) END AS retry_after FROM s""",
     "redact_messages": f"WITH {sql.FIELDS}, {sql.encoded(chr(39) + 'TD3' + chr(39))}, {sql.DAMAGED} SELECT o_orderkey, 'order ' || o_orderkey || ' read ' || regexp_replace(l1, '[A-Z0-9<]{{25,}}', '[REDACTED]', 'g') || ' / ' || regexp_replace(lower(l2), '[A-Z0-9<]{{25,}}', '[REDACTED]', 'g') AS message, '[REDACTED]' AS surname, '[REDACTED]' AS note, CAST(NULL AS VARCHAR) AS dob FROM z".replace("{{25,}}", "{25,}"),
     "text_normalise": """WITH m AS (SELECT *, '  ' || c_name || '<' || chr(9) || ' ' || c_mktsegment || ' ' AS messy, lower(c_name) AS a, lower(c_mktsegment) AS b FROM customer),
 n AS (SELECT *, list_distinct(list_filter(string_split(trim(regexp_replace(replace(a, '#', ' '), '\\s+', ' ', 'g')), ' '), lambda t: t <> '')) AS ta, list_distinct(string_split('customer ' || b, ' ')) AS tb FROM m)
@@ -185,5 +176,5 @@ SELECT c_custkey, trim(regexp_replace(messy, '\\s+', ' ', 'g')) AS collapsed, re
     "upload_validation": """WITH f AS (SELECT o_orderkey, o_orderkey % 8 AS k, ['a.JPG', 'b.png', 'c.exe', '', NULL, 'noext'][o_orderkey % 6 + 1] AS name, CASE WHEN o_orderkey % 7 = 0 THEN 100 ELSE 1000 END AS w, CASE WHEN o_orderkey % 11 = 0 THEN 60000 ELSE 800 END AS h FROM orders),
 g AS (SELECT *, CASE WHEN k = 7 THEN 0 ELSE [3, 8, 2, 4, 4, 13, 1][k + 1] + CASE WHEN o_orderkey % 5 = 0 THEN 10 ELSE 400 END END AS size_bytes, ['image/jpeg', 'image/png', 'image/bmp', 'image/tiff', 'image/tiff', 'image/webp', NULL, NULL][k + 1] AS mime FROM f)
 SELECT o_orderkey, size_bytes, mime, CASE WHEN size_bytes = 0 THEN 'INVALID_IMAGE' WHEN size_bytes < 256 THEN 'IMAGE_TOO_SMALL' WHEN name = 'c.exe' THEN 'UNSUPPORTED_FORMAT' WHEN mime IS NULL THEN 'UNSUPPORTED_FORMAT' WHEN w * h > 50000000 THEN 'IMAGE_TOO_LARGE' WHEN least(w, h) < 320 THEN 'IMAGE_TOO_SMALL' END AS error_code FROM g""",
-    "recognised_boxes": f"{_B} SELECT doc_id, block_no, trim(text) AS text, confidence, x0, y0, x1, y1 FROM b",
+    "recognised_boxes": f"{BOXES_SQL} SELECT doc_id, block_no, trim(text) AS text, confidence, x0, y0, x1, y1 FROM b",
 }

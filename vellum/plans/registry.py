@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import mrz, pages
+from vellum.plans import mrz, pages, readings
 
-MODULES = (mrz, pages)
+MODULES = (mrz, pages, readings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,10 +11,14 @@ EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp")
 SIGNATURES = (("FFD8FF", "image/jpeg"), ("89504E470D0A1A0A", "image/png"), ("424D", "image/bmp"), ("49492A00", "image/tiff"), ("4D4D002A", "image/tiff"))
 
 
-def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, filename, content of the files under a path that Spark can read."""
+def read_uploads(spark: SparkSession, path: str, largest: int = LARGEST) -> DataFrame:
+    """doc_id, filename, size_bytes and content of the files under a path that Spark can read. The content of files beyond
+    `largest` is not read (the source skips it by the listing) but they keep their row, with null content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+    name = F.element_at(F.split("path", "/"), -1).alias("filename")
+    small = files.where(F.col("length") <= largest).select(F.col("path").alias("doc_id"), name, F.col("length").alias("size_bytes"), "content")
+    large = files.where(F.col("length") > largest).select(F.col("path").alias("doc_id"), name, F.col("length").alias("size_bytes"), F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large)
 
 
 def sniff(content: Column) -> Column:
@@ -32,8 +36,10 @@ def extension_allowed(filename: Column) -> Column:
 
 
 def validate(uploads: DataFrame) -> DataFrame:
-    """uploads: filename, content, width, height (null while undecoded). Adds size_bytes, mime and error_code (null: accepted)."""
+    """uploads: filename, content, width, height (null while undecoded), and size_bytes where content may be left unread. Adds
+    size_bytes, mime and error_code (null: accepted)."""
     size = F.coalesce(F.octet_length("content"), F.lit(0))
+    size = F.coalesce("size_bytes", size) if "size_bytes" in uploads.columns else size
     out = uploads.withColumns({"size_bytes": size, "mime": sniff(F.col("content"))})
     error = (
         F.when(F.col("size_bytes") == 0, "INVALID_IMAGE")
