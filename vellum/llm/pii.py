@@ -3,10 +3,13 @@
 Base spans (email, ip, card, phone) come from fixed patterns, searched so that long texts take linear time. The field's nodes
 are number groups of 7 digits or more and words with an at sign. A node that a base span covers is observed with that kind;
 the others have the label none or a kind. Unary potentials come from a softmax regression on the node's shape, chain
-potentials tie nodes that stand close on a line, and skip potentials tie each node to the next one with the same core (the
-last 7 digits, or the part before the at sign), so links grow with the number of nodes and not of pairs. Loopy sum-product
-message passing runs over all texts of a batch at once. An unobserved node whose marginal for a kind reaches SURE becomes an
-added span; the rules' refusal counts against it, so only evidence from elsewhere in the document adds one. Base spans stay.
+potentials tie nodes that stand close on a line, and skip potentials tie all nodes of one core (the last 7 digits, or the part
+before the at sign) and, more weakly, of a similar one (the first 7 digits, or the letters before the at sign). All nodes of a
+core share one factor node, so links grow with the number of nodes and not of pairs, and evidence reaches every repeat in two
+steps, however many stand between. Loopy sum-product message passing runs over all texts of a batch at once until messages
+stand still. An unobserved node whose marginal for a kind reaches SURE becomes an added span; the rules' refusal counts against
+it, so only evidence from elsewhere in the document adds one. Base spans stay. Bounds of the potentials (AGAINST, NEIGHBOUR,
+REPEAT) are set by hand: labels come from the rules, so a fit without bounds would only repeat the rules' refusals.
 
 Parameters are fitted on a bounded sample of documents (TRAIN_ROWS, by hash), with the base spans as labels. Null texts
 count as empty. Positions are code points, ends exclusive.
@@ -27,7 +30,12 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from vellum.llm.shared import map_arrow, ship, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_ROWS, ROUNDS, SURE = 3000, 8, 0.9
+TRAIN_ROWS, SURE = 3000, 0.9
+#: Messages stand still when none moves more than this; damped from round 20 on, given up after so many.
+STILL, DAMPED, ROUNDS = 1e-4, 20, 500
+#: How strong the potentials between a node and the factor node of its core are beside one between two nodes, since evidence
+#: passes two of them; and of a similar core, which then carries a label only where the shape speaks little against it.
+SHARED, SIMILAR = 1.5, 0.9
 #: Bounds of the fitted potentials: how far a shape may speak against a kind, how far neighbours and repeats may speak.
 AGAINST, NEIGHBOUR, REPEAT = (0.5, 1.5), 0.4, 4.0
 
@@ -38,6 +46,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"\+?\(?[0-9][0-9().\x20-]*[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_NOT_LETTER = re.compile(r"[^a-z]+")
 
 Span = tuple[int, int, int]  # start, place of the kind, end
 
@@ -80,7 +89,7 @@ def base_spans(text: str) -> list[Span]:
 class Node:
     start: int
     end: int
-    core: str
+    cores: tuple[str, ...]  # its own and, if it has one, a weaker one
     shape: tuple[float, ...]
     label: int  # of a base span that covers it: 1 + place of the kind; else 0
     line: int
@@ -97,39 +106,43 @@ def nodes_of(text: str, base: list[Span]) -> list[Node]:
     for m in _NUMBER.finditer(text):
         digits = _NOT_DIGIT.sub("", m[0])
         if len(digits) >= 7:
-            found.append((m.start(), m.end(), digits[-7:]))
+            found.append((m.start(), m.end(), (digits[-7:], "^" + digits[:7]) if len(digits) > 9 else (digits[-7:],)))
     at = text.find("@")
     while at >= 0:
         start, end = at, at
-        floor = found[-1][1] if found and found[-1][2][:1] == "@" else 0
+        floor = found[-1][1] if found and found[-1][2][0][:1] == "@" else 0
         while start > floor and not text[start - 1].isspace():
             start -= 1
         while end < len(text) and not text[end].isspace():
             end += 1
-        found.append((start, end, "@" + text[start:at].lower()))
+        local = text[start:at].lower()
+        letters = _NOT_LETTER.sub("", local)
+        found.append((start, end, ("@" + local, "@^" + letters) if len(letters) > 4 else ("@" + local,)))
         at = text.find("@", end)
     found.sort()
     out, k, line, seen = [], 0, 0, 0
-    for start, end, core in found:
+    for start, end, cores in found:
         while k < len(base) and base[k][2] <= start and (k + 1 == len(base) or base[k + 1][0] <= start):
             k += 1
         label = next((1 + b[1] for b in base[max(0, k - 2) : k + 3] if b[0] < end and start < b[2]), 0)
         line += text.count("\n", seen, start)
         seen = start
-        out.append(Node(start, end, core, shape_of(text[start:end]), label, line))
+        out.append(Node(start, end, cores, shape_of(text[start:end]), label, line))
     return out
 
 
-def links(nodes: list[Node]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(chain, skip) edges: neighbours within 40 characters of a line; each node and the next of its core."""
-    chain = [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i].line == nodes[i + 1].line and nodes[i + 1].start - nodes[i].end <= 40]
-    last: dict[str, int] = {}
-    skip = []
+def chain_links(nodes: list[Node]) -> list[tuple[int, int]]:
+    """Neighbours within 40 characters of a line."""
+    return [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i].line == nodes[i + 1].line and nodes[i + 1].start - nodes[i].end <= 40]
+
+
+def groups(nodes: list[Node]) -> list[tuple[bool, list[int]]]:
+    """(is the core a similar one only, nodes) of each core that stands at two nodes or more."""
+    by: dict[str, list[int]] = {}
     for i, n in enumerate(nodes):
-        if n.core in last:
-            skip.append((last[n.core], i))
-        last[n.core] = i
-    return chain, skip
+        for core in n.cores:
+            by.setdefault(core, []).append(i)
+    return [("^" in core[:2], own) for core, own in by.items() if len(own) > 1]
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -137,9 +150,9 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def marginals(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Loopy sum-product in logarithms. unary: nodes x labels; edges: (a, b) rows; potentials: edges x labels of a x of b.
-    Exact on trees within `rounds` of their depth."""
+def marginals(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray) -> np.ndarray:
+    """Loopy sum-product in logarithms, until messages stand still; exact on trees. unary: nodes x labels; edges: (a, b) rows;
+    potentials: edges x labels of a x of b."""
     if not len(edges):
         return np.exp(unary - _log_sum(unary, 1)[:, None])
     source = np.concatenate([edges[:, 0], edges[:, 1]])
@@ -147,11 +160,17 @@ def marginals(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, roun
     along = np.concatenate([potentials, potentials.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     message = np.zeros((len(source), unary.shape[1]))
-    for _ in range(rounds):
+    for k in range(ROUNDS):
         belief = unary.copy()
         np.add.at(belief, target, message)
         new = _log_sum((belief[source] - message[back])[:, :, None] + along, 1)
-        message = new - _log_sum(new, 1)[:, None]
+        new = new - _log_sum(new, 1)[:, None]
+        if k >= DAMPED:
+            new = (new + message) / 2
+        moved = np.abs(new - message).max()
+        message = new
+        if moved < STILL:
+            break
     belief = unary.copy()
     np.add.at(belief, target, message)
     return np.exp(belief - _log_sum(belief, 1)[:, None])
@@ -170,7 +189,7 @@ class Model:
         labels = 1 + len(KINDS)
         out = []
         nodes: list[Node] = []
-        owner, edges, kinds = [], [], []
+        owner, edges, kinds, hubs, weak = [], [], [], [], []
         for i, text in enumerate(texts):
             base = base_spans(text)
             out.append([(*s, False) for s in base])
@@ -179,9 +198,14 @@ class Model:
             own = nodes_of(text, base)
             if all(n.label for n in own):
                 continue
-            chain, skip = links(own)
-            edges += [(a + len(nodes), b + len(nodes)) for a, b in chain + skip]
-            kinds += [0] * len(chain) + [1] * len(skip)
+            chain = chain_links(own)
+            edges += [(a + len(nodes), b + len(nodes)) for a, b in chain]
+            kinds += [0] * len(chain)
+            for similar, members in groups(own):
+                some = [bool(own[i].label) for i in members]
+                if any(some) and not all(some):  # else there is nothing to carry, or nobody to carry it to
+                    hubs.append([i + len(nodes) for i in members])
+                    weak.append(2 if similar else 1)
             nodes += own
             owner += [i] * len(own)
         if not nodes:
@@ -197,9 +221,13 @@ class Model:
         same = np.full((labels, labels), -self.repeat / 2)
         np.fill_diagonal(same, self.repeat)
         same[0, 0] = 0.0
-        table = np.stack([self.chain, same])
+        for k, (members, kind) in enumerate(zip(hubs, weak, strict=True), len(nodes)):
+            edges += [(i, k) for i in members]
+            kinds += [kind] * len(members)
+        unary = np.concatenate([unary, np.zeros((len(hubs), labels))])
+        table = np.stack([self.chain, SHARED * same, SIMILAR * same])
         belief = marginals(unary, np.array(edges, dtype=np.int64).reshape(-1, 2), table[np.array(kinds, dtype=np.int64)])
-        for n, k in enumerate(np.flatnonzero((seen == 0) & (belief[:, 1:].max(axis=1) >= SURE))):
+        for n, k in enumerate(np.flatnonzero((seen == 0) & (belief[: len(nodes), 1:].max(axis=1) >= SURE))):
             node = nodes[k]
             out[owner[k]].append((node.start, int(belief[k, 1:].argmax()), node.end, True))
         return [sorted(s) for s in out]
@@ -222,7 +250,8 @@ def fit(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
                 nodes = nodes_of(text, base_spans(text))
                 for node in nodes:
                     shapes[(*node.shape, node.label)] = shapes.get((*node.shape, node.label), 0) + 1
-                for kind, found in enumerate(links(nodes)):
+                alike = [pair for similar, own in groups(nodes) if not similar for pair in zip(own, own[1:])]
+                for kind, found in enumerate((chain_links(nodes), alike)):
                     for a, b in found:
                         pairs[kind, nodes[a].label, nodes[b].label] += 1
             rows = [("shape", list(k), v) for k, v in shapes.items()] + [("pair", [float(i) for i in at], int(pairs[at])) for at in map(tuple, np.argwhere(pairs))]
@@ -280,7 +309,7 @@ def find_pii(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         return apply
 
-    return map_arrow(docs, make, StructType([*docs.schema.fields, StructField("pii_spans", _parse_datatype_string(_TYPE))]))
+    return map_arrow(docs, make, StructType([*docs.schema.fields, StructField("pii_spans", _parse_datatype_string(_TYPE))]), text)
 
 
 def redact(text: str, spans: Iterator[tuple[int, int, str]]) -> str:
