@@ -61,3 +61,27 @@ def test_learned_model_keeps_prose_and_drops_junk(spark):
     row = Q.judge(mixed, model).first()
     assert row.kept and 0.5 < row.content_share < 1
     assert Q.fit(docs, labels.where("quality = 1")) == Q.Model()
+
+
+def test_agreement_equals_enumeration():
+    import itertools
+
+    r = np.random.default_rng(4)
+    model = Q.Model(tuple(r.normal(size=len(Q.FEATURES))), 0.9)
+    lines = Q.Lines(["one two three.\n### | |\nmore words here now!\n12 34", "", "single line"])
+    x = lines.x[:4] @ np.array(model.weights)
+    weigh = lambda ys: np.exp(sum(e / 2 if y else -e / 2 for e, y in zip(x, ys)) + sum(0.45 if a == b else -0.45 for a, b in zip(ys, ys[1:])))
+    every = list(itertools.product((0, 1), repeat=4))
+    expected = sum(weigh(ys) * sum(a == b for a, b in zip(ys, ys[1:])) for ys in every) / sum(map(weigh, every))
+    same, pairs = model.agreement(lines)
+    assert pairs == 3 and abs(same - expected) < 1e-9
+
+
+def test_transitions_are_learned_and_contradictions_left_out(spark):
+    good, bad = "This is a full sentence of words.\n" * 6, "| # | $$ |\n" * 6
+    mixed = "This is a full sentence of words.\n| # | $$ |\n" * 4
+    docs = spark.createDataFrame([(i, good if i % 2 else bad) for i in range(40)] + [(100 + i, mixed) for i in range(40)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(40)]
+    apart = Q.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    both = Q.fit(docs, spark.createDataFrame(labels + [(100 + i, i % 2) for i in range(40)] + [(0, 1)], "doc_id long, quality int"))
+    assert apart.stick > both.stick + 0.5 and both.stick > 0

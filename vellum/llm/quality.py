@@ -2,8 +2,10 @@
 
 Every line with a word gets features of its shape (symbols, separators, repeated words, word lengths, closing punctuation,
 a copy of an earlier line). Their weights come from a maximum-entropy fit to the lines of documents labelled good or bad (a
-weak label: a document's label stands for each of its lines; at most TRAIN_ROWS documents), and the chain's transitions
-from how often neighbouring lines of those documents agree, bounded, since the labels are constant in a document. Viterbi
+weak label: a document's label stands for each of its lines; about TRAIN_ROWS documents, by hash). The chain's transition is
+then estimated by expectation maximisation: the forward-backward pass says how often neighbouring lines agree, whatever the
+document's label, and that share, drawn to AGREE, is the next transition. Both fits add up sums of the executors; no line comes to the driver.
+Viterbi
 decoding marks each line content or boilerplate; a document is retained if at least SHARE of its words lie in content
 lines and the fixed rules don't fail it.
 
@@ -19,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import map_arrow, ship, texts_of
-from vellum.llm.wordgrid import Grid, mix, regress
+from vellum.llm.shared import cut, map_arrow, ship, texts_of
+from vellum.llm.wordgrid import Grid, mix
 
 TRAIN_ROWS, SHARE = 2000, 0.5
-STICK = 1.5  # bound of the log-odds of two neighbouring lines having one label
+#: Steps of the two fits, at most.
+STEPS, ROUNDS = 25, 6
+#: Share of neighbours that agree, assumed beforehand; it weighs as much as the data, whose documents are of one label each and
+#: so agree more than a page that mixes content and boilerplate.
+AGREE = 0.8
 SYMBOLS = "#*$%&|<>"
 CLOSING = ".!?:;\"”»…"
 FEATURES = ("bias", "symbols", "separators", "symbol ends", "repeats", "next repeats", "word length", "short words", "closed", "copy", "digits", "one word")
@@ -148,6 +154,28 @@ class Model:
             out.append(to_good if out[-1] else to_bad)
         return out[::-1]
 
+    def agreement(self, lines: Lines) -> tuple[float, float]:
+        """(expected number of neighbouring lines with one label, number of neighbouring lines), by the forward-backward pass."""
+        same = pairs = 0.0
+        stay = 1 / (1 + np.exp(-self.stick))
+        odds = 1 / (1 + np.exp(-np.clip(lines.x @ np.array(self.weights), -30, 30))) if len(lines.x) else np.empty(0)
+        for a, b in zip(lines.line_at[:-1].tolist(), lines.line_at[1:].tolist(), strict=True):
+            good = odds[a:b].tolist()
+            ahead, last = [1.0] * len(good), 1.0  # share of the label content that the lines after speak for, as odds to 1
+            for i in range(len(good) - 1, 0, -1):
+                g, h = good[i] * last, (1 - good[i])
+                last = (stay * g + (1 - stay) * h) / ((1 - stay) * g + stay * h)
+                ahead[i - 1] = last
+            p = good[0] if good else 0.0
+            for i in range(1, len(good)):
+                g, after = good[i], ahead[i]
+                both = [p * stay * g * after, (1 - p) * stay * (1 - g), p * (1 - stay) * (1 - g), (1 - p) * (1 - stay) * g * after]
+                total = sum(both)
+                same += (both[0] + both[1]) / total
+                pairs += 1
+                p = (both[0] / after + both[3] / after) / (both[0] / after + both[3] / after + both[1] + both[2])
+        return same, pairs
+
     def shares(self, lines: Lines) -> np.ndarray:
         out = np.zeros(len(lines.n_words))
         for i, (a, b) in enumerate(zip(lines.line_at[:-1], lines.line_at[1:], strict=True)):
@@ -159,7 +187,9 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Weights from labels.quality, 1 good and 0 bad; the default ones if either kind is missing."""
     ship(docs.sparkSession)
-    own = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("y")).dropDuplicates(["doc_id"])
+    known = labels.where("quality in (0, 1) and doc_id is not null")
+    # labels that contradict each other teach nothing
+    own = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"), F.max("quality").cast("int").alias("_y")).where("y = _y").drop("_y")
     sizes = {r.y: r.n for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Model()
@@ -167,23 +197,52 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     pick = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000))
     own = own.where(F.when(F.col("y") == 1, pick < 1_000_000 * most / 2 / sizes[1]).otherwise(pick < 1_000_000 * most / 2 / sizes[0]))
 
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(own), "doc_id").select("text", "y")  # about `most` rows, by the filter above
+    rows = cut(rows, "labelled", files=16)
+    n = len(FEATURES)
+    weights = np.zeros(n)
+    pull = np.full(n, 0.05)
+    pull[0] = 1e-3
+    for _ in range(STEPS):  # Newton's method
+        got = _sums(rows, lambda lines, y, w=weights: _slopes(lines, y, w))
+        if not len(got) or not got[-1] or not got[-2]:
+            return Model()
+        step = np.linalg.solve(got[: n * n].reshape(n, n) + np.diag(pull), got[n * n : n * n + n] + pull * weights)
+        weights = weights - step
+        if np.abs(step).max() < 1e-4:
+            break
+    stick = 1.0
+    for _ in range(ROUNDS):
+        same, pairs = _sums(rows, lambda lines, y, m=Model(tuple(weights), stick): m.agreement(lines))
+        share = (same + AGREE * (pairs + 10)) / (2 * pairs + 10)
+        before, stick = stick, float(np.log(share / (1 - share)))
+        if abs(stick - before) < 1e-3:
+            break
+    return Model(tuple(float(w) for w in weights), stick)
+
+
+def _sums(rows: DataFrame, of) -> np.ndarray:
+    """The sum of of(lines, labels of the texts), a vector, over pieces of (text, y)."""
+
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            lines = Lines(texts_of(batch))
-            doc = np.repeat(np.arange(len(lines.line_at) - 1), np.diff(lines.line_at))
-            y = np.array(batch.column("y").to_pylist())[doc]
-            # a document weighs as one, however long
-            weight = 1 / np.diff(lines.line_at)[doc]
-            return pa.RecordBatch.from_arrays([pa.array(lines.x.tolist(), pa.list_(pa.float64())), pa.array(y, pa.int32()), pa.array(weight, pa.float64())], ["x", "y", "w"])
+            value = of(Lines(texts_of(batch)), np.array(batch.column("y").to_pylist(), dtype=float))
+            return pa.RecordBatch.from_arrays([pa.array([np.asarray(value, dtype=float).tolist()], pa.list_(pa.float64()))], ["v"])
 
         return apply
 
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(own), "doc_id").select("text", "y")  # about `most` rows, by the filter above
-    got = map_arrow(rows, make, "x array<double>, y int, w double").toPandas()
-    if got["y"].nunique() < 2:
-        return Model()
-    x, y, w = np.array(got["x"].tolist()), got["y"].to_numpy(float), got["w"].to_numpy(float)
-    return Model(regress(x, y, ridge=0.05, weight=w), STICK)
+    got = map_arrow(rows, make, "v array<double>").agg(*(F.sum(F.get("v", i)) for i in range(len(FEATURES) * (len(FEATURES) + 1) + 2))).first()
+    return np.array([x for x in got if x is not None])
+
+
+def _slopes(lines: Lines, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Hessian and gradient of the lines' likelihood, a document weighing as one however long, and documents bad and good."""
+    n = np.diff(lines.line_at)
+    doc = np.repeat(np.arange(len(n)), n)
+    weight, x = 1 / n[doc], lines.x
+    p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+    hessian = (x * (weight * p * (1 - p))[:, None]).T @ x
+    return np.concatenate([hessian.ravel(), x.T @ (weight * (p - y[doc])), [(y[n > 0] == 0).sum(), (y[n > 0] == 1).sum()]])
 
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:
