@@ -62,7 +62,7 @@ def _signatures(words: int, coordinates: int):
                 sizes.append(len(found))
                 nodes.append(node_of(found) if len(found) else None)
                 marks.append(signature(found, coordinates).tobytes() if len(found) else None)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(marks, pa.binary()), pa.array([len(t) for t in texts], pa.int64())], ["doc_id", "row_key", "n_shingles", "node", "signature", "bytes"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), batch.column("own"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(marks, pa.binary()), pa.array([len(t) for t in texts], pa.int64())], ["doc_id", "row_key", "own", "n_shingles", "node", "signature", "bytes"])
 
         return apply
 
@@ -198,7 +198,8 @@ def _in_blocks(df: DataFrame, blocks: Column, by: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    """docs with two hashes of each row, by which it is met again."""
+    return docs.withColumns({"row_key": F.xxhash64("doc_id", "text"), "own": F.xxhash64("text", F.lit(3))})
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
@@ -208,14 +209,14 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = PERCENT, coo
     ship(spark)
     source = docs.select("doc_id", "text")
     base = cut(
-        map_arrow(keyed(source), _signatures(words, coordinates), "doc_id long, row_key long, n_shingles long, node binary, signature binary, bytes long"),
+        map_arrow(keyed(source), _signatures(words, coordinates), "doc_id long, row_key long, own long, n_shingles long, node binary, signature binary, bytes long"),
         "signatures",
     )
     # one row a distinct set; sets under this size are linked only with equal ones
     least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))
     nodes = cut(
-        base.where(F.col("n_shingles") >= least).groupBy("node").agg(F.min(F.struct("row_key", "signature", "bytes")).alias("x"))
-        .select("node", F.col("x.row_key").alias("row_key"), F.col("x.signature").alias("signature"), F.col("x.bytes").alias("bytes"), F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long").alias("nid")),
+        base.where(F.col("n_shingles") >= least).groupBy("node").agg(F.min(F.struct("row_key", "own", "signature", "bytes")).alias("x"))
+        .select("node", F.col("x.row_key").alias("row_key"), F.col("x.own").alias("own"), F.col("x.signature").alias("signature"), F.col("x.bytes").alias("bytes"), F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long").alias("nid")),
         "nodes",
     )
     coordinate = F.sequence(F.lit(0), F.lit(coordinates - 1))
@@ -234,11 +235,11 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = PERCENT, coo
     lists = lists.repartition("cv", "i", "j").sortWithinPartitions("cv", "i", "j", "nid")
     candidates = components(lists.mapInArrow(_merge_lists(matches, coordinates), "a long, b long"))
 
-    # of rows that agree in id and text one is read again (two hashes tell them from others), before any join
-    texts = keyed(source).withColumn("own", F.xxhash64("text", F.lit(3))).groupBy("row_key", "own").agg(F.first("text").alias("text")).drop("own")
-    labelled = candidates.select(F.col("node").alias("nid"), F.col("label").alias("cluster")).join(nodes.select("nid", "node", "row_key", "bytes"), "nid")
+    # of rows that agree in id and text one is read again, before any join
+    texts = keyed(source).groupBy("row_key", "own").agg(F.first("text").alias("text"))
+    labelled = candidates.select(F.col("node").alias("nid"), F.col("label").alias("cluster")).join(nodes.select("nid", "node", "row_key", "own", "bytes"), "nid")
     sizes = labelled.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(CLUSTER_BLOCK)), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES))).alias("blocks"))
-    with_text = labelled.join(sizes, "cluster").select("row_key", "node", "cluster", "blocks").join(texts, "row_key")
+    with_text = labelled.join(sizes, "cluster").select("row_key", "own", "node", "cluster", "blocks").join(texts, ["row_key", "own"])
     blocks = _in_blocks(with_text, F.col("blocks"), "node").select("cluster", "i", "j", "node", "text")
     blocks = blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
     labels = components(blocks.mapInArrow(_confirm(words, percent), "a binary, b binary"))
