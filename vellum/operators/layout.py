@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import charset as C
+from vellum.functions.checksum import let
 from vellum.operators.scan import parse_candidates
 
 LINE, GAP, OVERLAP, LEAST_SCORE = 0.6, 1.2, 0.6, 0.72 * 0.6
@@ -74,8 +75,8 @@ def _fold(boxes: Column, placed: Column, fits, update, new, kind: str) -> Column
     """Groups in the order of their creation; each box joins the first that it fits."""
 
     def step(groups: Column, b: Column) -> Column:
-        at = F.when(placed, F.array_position(F.transform(groups, lambda g: fits(g, b)), True)).otherwise(0)
-        return F.when(at > 0, F.transform(groups, lambda g, i: F.when(i == at - 1, update(g, b)).otherwise(g))).otherwise(F.array_append(groups, new(b)))
+        first = F.when(placed, F.array_position(F.transform(groups, lambda g: fits(g, b)), True)).otherwise(0)
+        return let(first, lambda at: F.when(at > 0, F.transform(groups, lambda g, i: F.when(i == at - 1, update(g, b)).otherwise(g))).otherwise(F.array_append(groups, new(b))))
 
     return F.aggregate(boxes, F.array().cast(f"array<{kind}>"), step)
 
@@ -184,10 +185,10 @@ def scan_boxes(blocks: DataFrame, *keys: str) -> DataFrame:
 
     def line(g: Column, made: Column) -> Column:
         own = F.transform(F.array_sort(F.transform(g["boxes"], lambda b, i: F.struct(b["x0"].alias("k"), i.alias("i"), b.alias("b")))), lambda x: x["b"])
-        text = C.normalize_line(F.array_join(F.transform(own, lambda b: b["text"]), ""))
+        joined = C.normalize_line(F.array_join(F.transform(own, lambda b: b["text"]), ""))
         cy = F.transform(g["boxes"], lambda b: b["cy"])
         mean = F.aggregate(cy, F.lit(0.0), lambda s, x: s + x) / F.size(cy)
-        return F.struct(F.array_min(cy).alias("top"), made.alias("made"), text.alias("line"), C.line_score(text).alias("score"), mean.alias("y"), F.transform(g["boxes"], lambda b: b["confidence"]).alias("sure"))
+        return let(joined, lambda text: F.struct(F.array_min(cy).alias("top"), made.alias("made"), text.alias("line"), C.line_score(text).alias("score"), mean.alias("y"), F.transform(g["boxes"], lambda b: b["confidence"]).alias("sure")))
 
     found = pages.select(*keys, F.array_sort(F.transform(lines, line)).alias("lines"))
     n = lambda r: F.length(r["line"])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import charset as C
+from vellum.functions.checksum import let
 from vellum.operators import zones as Z
 
 TOLERANCE = 6
@@ -20,7 +21,8 @@ BREAKS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 def candidate_groups(lines: Column) -> Column:
     """lines: array of non-blank raw lines. Candidates as arrays of normalised lines, in the order in which they are tried:
     the last three and two of each run of zone-like lines, then lines that hold two rows."""
-    marked = F.transform(lines, lambda x: F.struct(C.normalize_line(x).alias("line"), C.is_candidate_line(x).alias("ok")))
+    own = lambda line, x: F.struct(line.alias("line"), ((F.length(line) >= 24) & (C.zone_ratio(x) >= 0.6)).alias("ok"))
+    marked = F.transform(lines, lambda x: let(C.normalize_line(x), lambda line: own(line, x)))
 
     def found(rows: Column) -> Column:
         ok = lambda i: F.coalesce(F.get(rows, i)["ok"], F.lit(False))
@@ -34,7 +36,7 @@ def candidate_groups(lines: Column) -> Column:
         joined = F.transform(rows, lambda r: F.when(n(r).between(87, 89), halves(r, 44)).when(n(r).between(71, 73), halves(r, 36)))
         return F.concat(F.flatten(F.transform(ends, both)), F.filter(joined, lambda j: j.isNotNull()))
 
-    return F.get(F.transform(F.array(marked), found), 0)
+    return let(marked, found)
 
 
 def formats_for(lines: Column) -> Column:
