@@ -35,6 +35,17 @@ def test_lines(spark):
     assert [x.text for x in lines(spark, *plain, box(1, 4, "z"))] == ["z"]
 
 
+def test_sums_in_fixed_order(spark):
+    # boxes join the line from the top; summed from the left, its confidence would end in another digit
+    boxes = [box(1, 3, "small plate", x=400, y=108, w=63, h=18, confidence=0.9), box(1, 4, "blue anvil", x=440, y=108, w=81, h=19, confidence=0.58), box(1, 5, "small gizmo", x=0, y=108, w=99, h=21, confidence=0.86)]
+    line = lines(spark, *boxes)[0]
+    assert line.blocks == [5, 3, 4] and line.confidence == (0.9 * 11 + 0.58 * 10 + 0.86 * 11) / 32 != (0.86 * 11 + 0.9 * 11 + 0.58 * 10) / 32
+    sure = [0.1, 0.2, 0.3, 0.7]
+    rows = spark.createDataFrame([(1, 3 - i, "a", c) for i, c in enumerate(reversed(sure))] + [(1, 9, "a", None), (2, 0, "a", None)], "doc_id long, reading_order int, text string, confidence double")
+    for n in (1, 3):
+        assert {x.doc_id: x.mean for x in L.page_summary(rows.repartition(n), "doc_id", order="reading_order").collect()} == {1: (((0.1 + 0.2) + 0.3) + 0.7) / 4, 2: None}
+
+
 def brute_lines(boxes):
     groups = []
     for b in sorted(boxes, key=lambda b: (b["cy"], b["x0"], b["no"])):

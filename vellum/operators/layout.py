@@ -99,15 +99,17 @@ def group_lines(blocks: DataFrame, *keys: str) -> DataFrame:
     found = pages.select(*keys, F.posexplode(lines).alias("made", "g")).select(*keys, "made", "g.boxes")
     joined = F.array_join(F.transform("boxes", lambda b: b["text"]), "")
     place = lambda b, i: F.struct(F.when(F.col("_rtl"), -b["x0"]).otherwise(b["x0"]).alias("k"), i.alias("i"), b.alias("b"))
-    found = found.withColumn("_rtl", right_to_left(joined)).withColumn("boxes", F.transform(F.array_sort(F.transform("boxes", place)), lambda x: x["b"]))
-    each = lambda f: F.transform("boxes", lambda b: b[f])
     weight = lambda b: F.greatest(F.length(stripped(b["text"])), F.lit(1)).cast("double")
     total = lambda f: F.aggregate("boxes", F.lit(0.0), lambda s, b: s + f(b))
+    # summed in the order in which boxes join a line, as the SQL does: another order can differ in the last digit
+    sure = total(lambda b: b["confidence"] * weight(b)) / total(weight)
+    found = found.withColumns({"_rtl": right_to_left(joined), "_sure": sure}).withColumn("boxes", F.transform(F.array_sort(F.transform("boxes", place)), lambda x: x["b"]))
+    each = lambda f: F.transform("boxes", lambda b: b[f])
     found = found.select(
         *keys,
         "made",
         stripped(F.array_join(F.transform("boxes", lambda b: stripped(b["text"])), " ")).alias("text"),
-        (total(lambda b: b["confidence"] * weight(b)) / total(weight)).alias("confidence"),
+        F.col("_sure").alias("confidence"),
         F.array_min(each("confidence")).alias("min_confidence"),
         F.array_sort(F.array_distinct(F.filter(each("lang"), lambda x: x.isNotNull() & (x != "")))).alias("languages"),
         F.array_min(each("x0")).alias("x0"),
@@ -139,10 +141,15 @@ def regions(lines: DataFrame, *keys: str) -> DataFrame:
     return number_regions(lines, *keys).groupBy(*keys, "region_no").agg(F.array_join(texts, "\n").alias("text"), F.avg("confidence").alias("confidence"), F.count(F.lit(1)).alias("line_count"), *box)
 
 
-def page_summary(lines: DataFrame, *keys: str) -> DataFrame:
-    """Of each document: mean, min and max of the lines' confidences, words, readability and whether confidence is low."""
+def page_summary(lines: DataFrame, *keys: str, order: str | None = None) -> DataFrame:
+    """Of each document: mean, min and max of the lines' confidences, words, readability and whether confidence is low. With
+    order, a column, the mean is summed in that order, so that its last digit doesn't hang on how rows are dealt."""
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != ""))
-    out = lines.groupBy(*keys).agg(F.avg("confidence").alias("mean"), F.min("confidence").alias("least"), F.max("confidence").alias("most"), F.sum(words).alias("words"), F.sum(F.length(stripped(F.col("text"))) * F.col("confidence")).alias("readability"))
+    mean = F.avg("confidence")
+    if order:
+        told = F.array_sort(F.collect_list(F.when(F.col("confidence").isNotNull(), F.struct(order, "confidence"))))
+        mean = F.aggregate(told, F.lit(0.0), lambda s, x: s + x["confidence"]) / F.nullif(F.count("confidence"), F.lit(0))
+    out = lines.groupBy(*keys).agg(mean.alias("mean"), F.min("confidence").alias("least"), F.max("confidence").alias("most"), F.sum(words).alias("words"), F.sum(F.length(stripped(F.col("text"))) * F.col("confidence")).alias("readability"))
     return out.withColumn("low_confidence", (F.col("mean") < 0.55) & (F.col("mean") != 0))
 
 

@@ -25,7 +25,7 @@ def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain of a page: boxes to lines, regions of the lines, and the summary of the lines."""
     lines = L.group_lines(derive.blocks(spark, sf_dir), "doc_id")
     regions = L.regions(lines, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("regions"), F.max("line_count").alias("longest"))
-    s = L.page_summary(lines, "doc_id").join(regions, "doc_id")
+    s = L.page_summary(lines, "doc_id", order="reading_order").join(regions, "doc_id")
     return s.select("doc_id", *(F.round(c, 6).alias(c) for c in ("mean", "least", "most")), "words", "low_confidence", "regions", "longest")
 
 
