@@ -12,6 +12,7 @@ from vellum.operators import redact as X
 from vellum.operators import regions as B
 from vellum.operators import scan as S
 from vellum.operators import zones as Z
+from vellum.plans import readings
 from vellum.sources import providers, store
 
 REF = datetime.date(2026, 9, 1)
@@ -74,6 +75,21 @@ def test_passes(spark):
     assert {x.doc_id: x.warning for x in P.confident(boxes, 0.3, "doc_id").collect()} == {1: "1 block(s) dropped below min_confidence", 2: None}
 
 
+def test_scores_in_fixed_order(spark, tmp_path):
+    assert (0.1 + 0.2) + 0.3 > 0.6 == (0.3 + 0.2) + 0.1
+    rows = [(1, 2, "aa", 0.3, 0), (1, 3, "a", 0.3, 3), (1, 3, "a", 0.2, 2), (1, 3, "a", 0.1, 1), (1, 3, None, None, 4), (2, 1, "a", None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, turns int, text string, confidence double, place int")
+    for n in (1, 4):
+        best = lambda d: {x.doc_id: (x.turns, x.score) for x in P.best_orientation(d.repartition(n), "doc_id", order="place").collect()}  # noqa: B023, E731
+        assert best(df) == {1: (3, 0.1 + 0.2 + 0.3), 2: (1, 0.0)}
+        assert best(df.withColumn("place", -F.col("place"))) == {1: (2, 0.6), 2: (1, 0.0)}
+    # the same out of a table, in the order of its rows
+    line = lambda *ds: spark.createDataFrame([(1, 2 if i else 3, 1.0 + i, d) for i, d in ds], "l_orderkey long, l_linenumber int, l_quantity double, l_discount double").coalesce(1)
+    path = tmp_path / "lineitem.parquet"
+    line((1, 0.24), (0, 0.1), (0, 0.2), (0, 0.3)).write.parquet(str(path))
+    assert [(x.doc_id, x.turns, x.score) for x in readings.page_turns(spark, str(tmp_path)).collect()] == [(1, 3, 1.2)]
+
+
 def test_languages(spark):
     rows = [("x", "en"), ("en:a,ar:b", "ara"), ("de: ", "german"), ("fr:z", "en"), ("", "en"), (None, "en")]
     df = spark.createDataFrame(rows, "v string, l string")

@@ -44,10 +44,16 @@ def confident(blocks: DataFrame, least: float, *keys: str) -> DataFrame:
     return out.withColumn("warning", F.when(F.col("dropped") > 0, F.concat(F.col("dropped").cast("string"), F.lit(" block(s) dropped below min_confidence"))))
 
 
-def best_orientation(passes: DataFrame, *keys: str) -> DataFrame:
+def best_orientation(passes: DataFrame, *keys: str, order: str | None = None) -> DataFrame:
     """passes: keys, turns (0 to 3 quarter turns), text, confidence. The turn that reads best and its score: the upright one if
-    that is readable, else the first of those with the highest score."""
-    scores = passes.groupBy(*keys, "turns").agg(F.coalesce(F.sum(F.length(stripped(F.col("text"))) * F.col("confidence")), F.lit(0.0)).alias("score"))
+    that is readable, else the first of those with the highest score. With order, a column, each score is summed in that order,
+    so that turns whose scores agree but for the last digit aren't chosen by how rows are dealt."""
+    own = F.length(stripped(F.col("text"))) * F.col("confidence")
+    total = F.coalesce(F.sum(own), F.lit(0.0))
+    if order:
+        told = F.array_sort(F.collect_list(F.when(own.isNotNull(), F.struct(F.col(order).alias("o"), own.alias("s")))))
+        total = F.aggregate(told, F.lit(0.0), lambda s, x: s + x["s"])
+    scores = passes.groupBy(*keys, "turns").agg(total.alias("score"))
     upright = F.max(F.when(F.col("turns") == 0, F.col("score"))).over(Window.partitionBy(*keys))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.when((F.col("turns") == 0) & (F.col("_upright") >= READABLE), 0).otherwise(1), F.desc("score"), "turns"))
     return scores.withColumn("_upright", upright).withColumn("_nth", nth).where("_nth = 1").select(*keys, "turns", "score")
